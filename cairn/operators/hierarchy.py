@@ -78,6 +78,10 @@ def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 done[m] = (parent, via, False)
             else:
                 exit_, rest, ring_ = done[parent]
+                if ring_ and m in rest:  # on the ring, though an edge that was contracted passes over it
+                    at_m = rest.index(m) + 1
+                    done[m] = (None, rest[at_m:] + rest[:at_m], True)
+                    continue
                 if ring_:  # what was contracted on the way may lie on the ring too
                     rest = [a for a in rest[:-1] if a not in via]
                 done[m] = (exit_, [*via, parent, *rest], False)
