@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import tokenizer
+from cairn.llm import splitting, tokenizer
 from cairn.session import load
 
 
@@ -12,8 +12,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return pieces.where("piece = 0").select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_documents(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids,)}
+    return {f.__name__: f for f in (p7_ids, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
