@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import splitting, tokenizer
+from cairn.llm import leaks, splitting, tokenizer
 from cairn.session import load
 
 
@@ -12,6 +12,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks.find_leaks(docs, load(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return pieces.where("piece = 0").select("doc_id")
@@ -22,7 +27,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p7_ids, p8_found, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
