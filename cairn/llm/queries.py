@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import leaks, splitting, tokenizer
+from cairn.llm import handwritten, leaks, splitting, tokenizer
 from cairn.session import load
 
 
+def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(load(spark, sf_dir, "file_records"), load(spark, sf_dir, "documents"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_kinds(spark, sf_dir).select("path")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -27,7 +35,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_found, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p7_ids, p8_found, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
