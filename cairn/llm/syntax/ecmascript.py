@@ -16,6 +16,7 @@ _OPERATORS = "; , < > <= >= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && ||
 _GRAMMAR = """
 Stmts = Stmt**
 TopStmts = Top**
+OneFn = 'export'?? 'default'?? (FuncDecl | Func | Member) | ('export')?? Var SEMI | ~T'declare' FuncDecl |~ Postfix '=' Assign SEMI | Prop ','??
 Top = Import | Export | Stmt
 Import = 'import' (STR | ImportWhat 'from' STR) ('with' C[*])?? SEMI
 ImportWhat = ~T('type')?~ (ID (',' ('*' 'as' ID | C[Specs]))?? | '*' 'as' ID | C[Specs])
@@ -117,13 +118,13 @@ _TS_FRAGMENTS = {
 
 #: Marks that stand for a template and for a JSX element once their insides are checked.
 _TPL_MARK, _JSX_MARK = "", ""
-_REGEX = (
+REGEX_LITERAL = (
     r"(?:(?<=[(,=:\[!&|?{};>+\-*%~^<\n])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|\A)"
     r"[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*"
 )
 _ESCAPE = r"\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\}"
 _TOKEN = re.compile(
-    _REGEX + r"|[ \t\f\v   -   　﻿]+|\r\n?|[\n  ]"
+    REGEX_LITERAL + r"|[ \t\f\v   -   　﻿]+|\r\n?|[\n  ]"
     rf"|(?:[^\W\d]|\$|{_ESCAPE})(?:[\w$̀-ͯ‌‍]|{_ESCAPE})*"
     r"|//[^\n\r  ]*|/\*(?:[^*]|\*(?!/))*\*/"
     r"|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
@@ -134,7 +135,7 @@ _TOKEN = re.compile(
 _NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:0|[1-9]\d*(?:_\d+)*))n?|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?")
 _TEMPLATE = re.compile(r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`")
 _SKIP = re.compile(
-    r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`|[{}]|" + _REGEX
+    r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`|[{}]|" + REGEX_LITERAL
     + r"|(?:(?<=[(=?:&|,>\[{;!])|(?<=\breturn)|(?<=\bdefault)|^)\s*<(?=[A-Za-z_>])",
     re.M,
 )

@@ -24,6 +24,7 @@ Primary@ = NUM | STR | CHAR | 'true' | 'false' | PathExpr '!' (P[*] | B[*] | C[*
 """
 _GRAMMAR = """
 File = InnerAttr** Item**
+OneFn = Attr** Vis?? 'default'? FnHead (C[Block] | ';')
 Items = InnerAttr** Item**
 InnerAttr = '#' '!' B[*]
 Attr = '#' B[*]
