@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import materialize
+from cairn.session import materialize, spread
 
 #: Suffixes of code files, directory names of third-party code, and of build output.
 CODE_SUFFIXES = ("py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "go", "rs")
@@ -187,7 +187,7 @@ def not_handwritten(records: DataFrame, docs: DataFrame) -> DataFrame:
     code = docs.where(F.col("path").isNotNull() & is_code(F.col("path")) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     squeezed = F.regexp_replace("text", r"\s+", " ")
     rows = code.select("path", "text", F.col("source").alias("repo"), F.col("collected_at").alias("seen"), F.xxhash64(squeezed).alias("digest"))
-    judged = materialize(rows.mapInPandas(_judge, f"path string, repo string, seen {docs.schema['collected_at'].dataType.simpleString()}, digest bigint, kind string"), "judged")
+    judged = materialize(spread(rows).mapInPandas(_judge, f"path string, repo string, seen {docs.schema['collected_at'].dataType.simpleString()}, digest bigint, kind string"), "judged")
     shared = shared_subtrees(judged.select("repo", "path", "digest", "seen")).withColumn("shared", F.lit(True))
     parents = F.expr("transform(sequence(1, greatest(1, size(split(path, '/')) - 1)), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
     under = judged.select("path", "repo", F.explode(parents).alias("dir")).join(shared, ["repo", "dir"]).select("path").distinct()

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 #: Offsets of the words that each mask looks at. Four words, so that passages with every third word changed still have seeds.
@@ -156,7 +158,7 @@ def find_leaks(
     distinct = wanted.groupBy("digest").agg(F.first("passage").alias("passage"))
     total = distinct.agg(F.sum(F.size(F.split("passage", r"[^\p{L}\p{N}]+")))).first()[0] or 0
     passes = max(1, -(-total // held_words))
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
     found = None
     for i in range(passes):
         held = distinct.where(F.pmod(F.xxhash64("digest"), F.lit(passes)) == i).collect()

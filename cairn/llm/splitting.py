@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.tokenizer import TOKENIZER, WordCounts, words_of
+from cairn.session import spread
 
 LIMIT = 2000
 OVERLAP = 100
@@ -135,4 +136,4 @@ def split_documents(
             yield pd.DataFrame(rows, columns=["key", "piece", "start_char", "end_char", "overlap_chars", "n_tokens", "text"])
 
     long = docs.where(F.octet_length(text) > limit).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return long.mapInPandas(cut, PIECES.format(kind)).withColumnRenamed("key", key)
+    return spread(long).mapInPandas(cut, PIECES.format(kind)).withColumnRenamed("key", key)

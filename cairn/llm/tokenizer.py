@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import materialize
+from cairn.session import materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s")
@@ -210,7 +210,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    split = materialize(rows.mapInPandas(_split, f"block string, key {kind}, at int, word binary, words array<int>"), "words")
+    split = materialize(spread(rows).mapInPandas(_split, f"block string, key {kind}, at int, word binary, words array<int>"), "words")
     dictionary = split.where("word is not null").select(F.col("block").alias("home"), "at", "word")
     vocabulary = dictionary.select("word").distinct().mapInPandas(_replay_udf(tokenizer), "word binary, ids array<int>")
     known = dictionary.join(vocabulary, "word").select("home", "at", "ids")

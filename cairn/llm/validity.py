@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cairn.llm.syntax.ecmascript import EcmaScript
 from cairn.llm.syntax.go import Go
 from cairn.llm.syntax.rust import Rust
-from cairn.session import materialize
+from cairn.session import materialize, spread
 
 #: The language of each suffix.
 LANGUAGE_OF = {
@@ -108,7 +108,7 @@ def syntax_status(records: DataFrame, docs: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     rows = docs.where(F.col("path").isNotNull() & F.col("text").rlike(r"[^\s\x{FEFF}\x{200B}\x{00A0}\x{3000}\x{0085}\x{2028}\x{2029}]"))
     rows = rows.select("path", F.col("source").alias("repo"), suffix.alias("suffix"), "text").where(F.col("suffix").isin(*LANGUAGE_OF))
-    checked = rows.mapInPandas(_check, "path string, repo string, suffix string, valid boolean, parses_as string")
+    checked = spread(rows).mapInPandas(_check, "path string, repo string, suffix string, valid boolean, parses_as string")
     language = F.create_map(*[F.lit(x) for kv in LANGUAGE_OF.items() for x in kv])
     fault = F.when(~F.col("valid"), F.when(F.col("parses_as").isNull(), "corrupt").otherwise("wrong_suffix"))
     out = checked.select("path", "repo", language[F.col("suffix")].alias("language"), "valid", language[F.col("parses_as")].alias("parses_as"), fault.alias("fault"))
