@@ -470,8 +470,7 @@ def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT DISTINCT node_id, file_path, CAST(length(file_path) AS BIGINT) AS churn FROM file_nodes), c AS (SELECT *, length(file_path) % 4 AS k FROM f)
-  SELECT node_id, CASE k WHEN 1 THEN churn + 1 WHEN 2 THEN 0 ELSE churn END AS churn, CASE WHEN k = 3 THEN 9.0 WHEN k IN (1, 2) THEN 9.0 ELSE 5.0 END AS last_seen, CASE WHEN k = 2 THEN 9.0 ELSE 1.0 END AS first_seen FROM c WHERE k <> 0
-  UNION ALL SELECT node_id, churn, 5.0, 1.0 FROM c WHERE k = 0 AND false""", plain=True)
+  SELECT node_id, CASE k WHEN 1 THEN churn + 1 WHEN 2 THEN 0 ELSE churn END AS churn, CAST(9 AS DOUBLE) AS last_seen, CAST(CASE WHEN k = 2 THEN 9 ELSE 1 END AS DOUBLE) AS first_seen FROM c WHERE k <> 0""", plain=True)
 def incremental_update_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by length of path modulo 4: deleted, modified, added, unchanged."""
     files = load(spark, sf_dir, "file_nodes").select("node_id", "file_path").distinct().withColumn("k", F.length("file_path") % 4)
@@ -511,7 +510,7 @@ def file_level_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.file_level_view(projection.graph(spark, sf_dir))
 
 
-@query(_UP + "SELECT source, target, count(*) AS n, least(10.0, max(CASE edge_type WHEN 'calls' THEN 2.0 ELSE 1.0 END) + 0.5 * (count(*) - 1)) AS width FROM moved WHERE source <> target GROUP BY 1, 2")
+@query(_UP + "SELECT source, target, count(*) AS n, CAST(least(10.0, max(CASE edge_type WHEN 'calls' THEN 2.0 ELSE 1.0 END) + 0.5 * (count(*) - 1)) AS DOUBLE) AS width FROM moved WHERE source <> target GROUP BY 1, 2")
 def collapsed_view_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.collapsed_weights(projection.graph(spark, sf_dir))
 

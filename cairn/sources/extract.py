@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import LANGUAGES
+from cairn.session import spread
 
 SYMBOL = "struct<name:string,kind:string,start_line:int,end_line:int,docstring:string,complexity:int,qualified_name:string>"
 IMPORT = "struct<module:string,names:array<string>,start_line:int,is_relative:boolean>"
@@ -234,7 +235,7 @@ def parse_files(files: DataFrame, path: str = "path", text: str = "text") -> Dat
             yield pd.DataFrame([[r[c] for c in columns] for p, t in zip(part["path"], part["text"]) if (r := parse_text(p, t)) is not None], columns=columns)
 
     rows = files.where(F.col(path).isNotNull() & F.col(text).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"))
-    return rows.mapInPandas(parse, PARSED)
+    return spread(rows).mapInPandas(parse, PARSED)
 
 
 def flatten(parsed: DataFrame, what: str) -> DataFrame:
