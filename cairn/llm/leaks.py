@@ -93,7 +93,7 @@ class Passages:
         hashes = [seed_hashes(self.ids[k], mask) for k in own]
         h = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
         order = np.argsort(h, kind="stable")
-        owner = np.repeat(np.array(own, dtype=np.int64), [len(x) for x in hashes])
+        owner = np.repeat(np.array(own, dtype=np.int64), np.array([len(x) for x in hashes], dtype=np.int64))
         at = np.concatenate([np.arange(len(x)) for x in hashes] + [np.zeros(0, dtype=np.int64)])
         maybe = np.zeros(1 << 20, dtype=bool)
         maybe[h >> np.uint64(44)] = True

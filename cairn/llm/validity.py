@@ -93,7 +93,9 @@ def _check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if not _PARSERS:
         _PARSERS.append(Parsers())
     for part in parts:
-        part = part[[bool(t.strip().strip("\ufeff\u200b").strip()) for t in part["text"]]]
+        part = part[part["text"].map(lambda t: bool(t.strip().strip("\ufeff\u200b").strip())).astype(bool)]
+        if part.empty:
+            continue
         found = [diagnose(s, t, _PARSERS[0]) for s, t in zip(part["suffix"], part["text"])]
         yield pd.DataFrame({"path": part["path"], "repo": part["repo"], "suffix": part["suffix"], "valid": [v for v, _ in found], "parses_as": [o for _, o in found]})
 
