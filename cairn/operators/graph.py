@@ -6,9 +6,11 @@ return a number or a truth value; methods that change something return a new gra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import schemas
@@ -142,62 +144,163 @@ def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
             return labels
 
 
-def strongly_connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node_id, component`` by colouring: the smallest ancestor colours each node, and what reaches the colour's root inside
-    the colour is its component. Nodes without arcs in or out are done at once; the rest is repeated on fewer nodes."""
+def _tarjan(arcs: dict[str, list[str]]) -> dict[str, str]:
+    """The smallest id of every node's component, without recursion."""
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    on: set[str] = set()
+    stack: list[str] = []
+    out: dict[str, str] = {}
+    for root in arcs:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        work = [(root, iter(arcs[root]))]
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(arcs.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    group = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        group.append(w)
+                        if w == v:
+                            break
+                    first = min(group)
+                    out.update((w, first) for w in group)
+    return out
+
+
+def _solve_components(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frames = list(parts)
+    if frames:
+        rows = pd.concat(frames, ignore_index=True)
+        arcs: dict[str, list[str]] = {}
+        for a, b in zip(rows["source"], rows["target"]):
+            arcs.setdefault(a, []).append(b)
+            arcs.setdefault(b, [])
+        found = _tarjan(arcs)
+        yield pd.DataFrame({"node_id": list(found), "component": list(found.values())})
+
+
+def _inside(arcs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The arcs between nodes of ``ids``."""
+    return arcs.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
+
+
+def strongly_connected_components(nodes: DataFrame, edges: DataFrame, task_arcs: int = 1_000_000) -> DataFrame:
+    """``node_id, component``: the smallest id of each node's component.
+
+    Nodes without arcs in or out are components of their own and go first. Then colouring: the smallest ancestor colours each
+    node, and what reaches the colour's root inside the colour is a component. Both are repeated on what is left, which
+    shrinks, until its arcs fit one task (``task_arcs``), where the rest is solved at once.
+    """
     arcs = materialize(edges.where("source <> target").select("source", "target").distinct(), "arcs")
     left = materialize(nodes.select("node_id").distinct(), "nodes")
-    done = None
+    done: list[DataFrame] = []
+
+    def finish(rest: DataFrame) -> DataFrame:
+        out = rest
+        for d in done:
+            out = out.unionByName(d)
+        return out
+
     while True:
-        # what has no arc in or none out is a component of its own
+        if arcs.count() <= task_arcs:
+            solved = arcs.coalesce(1).mapInPandas(_solve_components, "node_id string, component string")
+            alone = left.join(solved, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+            return finish(materialize(alone, "components"))
         both = arcs.select(F.col("source").alias("node_id")).distinct().join(arcs.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_semi")
-        single = left.join(both, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))
-        rest = materialize(left.join(both, "node_id", "left_semi"), "nodes")
-        single = materialize(single, "single")
-        if not rest.take(1):
-            done = single if done is None else done.unionByName(single)
-            return done
-        arcs = materialize(arcs.join(rest.withColumnRenamed("node_id", "source"), "source", "left_semi").join(rest.withColumnRenamed("node_id", "target"), "target", "left_semi"), "arcs")
+        single = materialize(left.join(both, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component")), "single")
+        left = materialize(left.join(both, "node_id", "left_semi"), "nodes")
         if single.take(1):
-            done = single if done is None else done.unionByName(single)
-            left = rest
+            done.append(single)
+            arcs = materialize(_inside(arcs, left), "arcs")
             continue
-        colours = _spread(rest.select("node_id", F.col("node_id").alias("label")), arcs)
+        colours = _spread(left.select("node_id", F.col("node_id").alias("label")), arcs)
         a = colours.select(F.col("node_id").alias("source"), F.col("label").alias("ls"))
         b = colours.select(F.col("node_id").alias("target"), F.col("label").alias("lt"))
-        inside = materialize(arcs.join(a, "source").join(b, "target").where("ls = lt").select(F.col("target").alias("source"), F.col("source").alias("target")), "inside")
-        reach = colours.where("node_id = label").select("node_id", F.col("label").alias("component"))
-        front = reach
+        back = materialize(arcs.join(a, "source").join(b, "target").where("ls = lt").select(F.col("target").alias("source"), F.col("source").alias("target")), "back")
+        reach = front = colours.where("node_id = label").select("node_id", F.col("label").alias("component"))
         while front.take(1):
-            step = inside.join(front.withColumnRenamed("node_id", "source"), "source").select(F.col("target").alias("node_id"), "component").distinct()
+            step = back.join(front.withColumnRenamed("node_id", "source"), "source").select(F.col("target").alias("node_id"), "component").distinct()
             front = materialize(step.join(reach.select("node_id"), "node_id", "left_anti"), "front")
-            reach = reach.unionByName(front)
-        reach = materialize(reach, "reach")
-        done = reach if done is None else done.unionByName(reach)
-        left = materialize(rest.join(reach.select("node_id"), "node_id", "left_anti"), "nodes")
-        arcs = materialize(arcs.join(left.withColumnRenamed("node_id", "source"), "source", "left_semi").join(left.withColumnRenamed("node_id", "target"), "target", "left_semi"), "arcs")
-
-
-def simple_cycles(edges: DataFrame, components: DataFrame, max_length: int = 64) -> DataFrame:
+            reach = materialize(reach.unionByName(front), "reach")
+        done.append(reach)
+        left = materialize(left.join(reach.select("node_id"), "node_id", "left_anti"), "nodes")
+        arcs = materialize(_inside(arcs, left), "arcs")
+
+
+def _component_cycles(max_length: int):
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        arcs: dict[str, list[str]] = {}
+        for a, b in sorted(zip(pdf["source"], pdf["target"])):
+            arcs.setdefault(a, []).append(b)
+        best: dict[frozenset, list[str]] = {}
+        for start in sorted(arcs):
+            path, on = [start], {start}
+            work = [iter(arcs[start])]
+            while work:
+                for w in work[-1]:
+                    if w == start and len(path) > 1:
+                        key = frozenset(path)
+                        if key not in best or path < best[key]:
+                            best[key] = path[:]
+                    elif w > start and w not in on and len(path) < max_length:
+                        path.append(w)
+                        on.add(w)
+                        work.append(iter(arcs.get(w, ())))
+                        break
+                else:
+                    work.pop()
+                    on.discard(path.pop())
+        found = list(best.values())
+        return pd.DataFrame({"path": found, "length": [len(p) for p in found]})
+
+    return find
+
+
+def simple_cycles(edges: DataFrame, components: DataFrame, max_length: int = 64, task_arcs: int = 20_000) -> DataFrame:
     """``path, length``: simple cycles of two or more nodes, one per set of nodes (the smallest path), starting at the smallest id.
 
-    Only arcs inside a component are followed, and only to ids above the start. The number of cycles can grow exponentially with
-    a component's size; ``max_length`` bounds the length of those reported.
+    Only arcs inside a component are followed, and only to ids above the start. Components of up to ``task_arcs`` arcs are searched
+    each in one task, larger ones by joins. The number of cycles can grow exponentially with a component's size;
+    ``max_length`` bounds the length of those reported.
     """
     c = components.groupBy("component").count().where("count > 1").join(components, "component").select("node_id", "component")
     arcs = edges.where("source <> target").select("source", "target").distinct()
     arcs = arcs.join(c.select(F.col("node_id").alias("source"), F.col("component").alias("cs")), "source").join(c.select(F.col("node_id").alias("target"), F.col("component").alias("ct")), "target")
-    arcs = materialize(arcs.where("cs = ct").select("source", "target"), "arcs")
+    arcs = materialize(arcs.where("cs = ct").select("source", "target", F.col("cs").alias("component")), "arcs")
+    sizes = arcs.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > task_arcs).select("component")
+    found = arcs.join(large, "component", "left_anti").groupBy("component").applyInPandas(_component_cycles(max_length), "path array<string>, length int")
+    if not large.take(1):
+        return found
+    arcs = materialize(arcs.join(large, "component", "left_semi").select("source", "target"), "arcs")
     paths = arcs.where("source < target").select(F.col("source").alias("start"), F.array("source", "target").alias("path"), F.col("target").alias("at"))
-    found = None
+    by_joins = None
     for length in range(2, max_length + 1):
         paths = materialize(paths, "paths")
         if not paths.take(1):
             break
         closed = paths.join(arcs.select(F.col("source").alias("at"), F.col("target").alias("start")), ["at", "start"]).select("path", F.lit(length).alias("length"))
-        found = closed if found is None else found.unionByName(closed)
+        by_joins = closed if by_joins is None else by_joins.unionByName(closed)
         onward = arcs.select(F.col("source").alias("at"), F.col("target").alias("to"))
         paths = paths.join(onward, "at").where((F.col("to") > F.col("start")) & ~F.array_contains("path", F.col("to"))).select("start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
-    if found is None:
-        return arcs.select(F.array("source").alias("path"), F.lit(0).alias("length")).limit(0)
-    return found.groupBy(F.array_sort("path").alias("_set")).agg(F.min("path").alias("path"), F.first("length").alias("length")).select("path", "length")
+    once = by_joins.groupBy(F.array_sort("path").alias("_set")).agg(F.min("path").alias("path"), F.first("length").alias("length")).select("path", "length")
+    return found.unionByName(once)

@@ -92,7 +92,7 @@ _BRANCH = re.compile(r"\b(?:if|else|for|while|case|catch)\b|&&|\|\||=>(?=[^\n]*,
 _JS = re.compile(
     r"(?P<cls>\bclass\s+(?P<cname>[\w$]+)[^{]*\{)|(?P<fn>\bfunction\s*\*?\s*(?P<fname>[\w$]+)\s*(?:<[^>(]*>)?\()"
     r"|(?P<arrow>\b(?:const|let|var)\s+(?P<aname>[\w$]+)[^=;\n]*=\s*(?:async\s*)?(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^=;{\n]*|[\w$]+\s*)=>)"
-    r"|(?P<method>^[ \t]+(?:(?:public|private|protected|static|async|get|set|readonly|abstract|override)\s+|\*\s*)*(?P<mname>#?[\w$]+)\s*(?:<[^>(]*>)?\([^;{}]*\)[^;{}()]*\{)",
+    r"|(?P<method>(?:^[ \t]+|(?<=[{};])[ \t]*)(?:(?:public|private|protected|static|async|get|set|readonly|abstract|override)\s+|\*\s*)*(?P<mname>#?[\w$]+)\s*(?:<[^>(]*>)?\([^;{}]*\)[^;{}()]*\{)",
     re.M,
 )
 _GO = re.compile(r"^func\s*(?:\(\s*(?:\w+\s+)?\*?\s*(?P<recv>\w+)[^)]*\)\s*)?(?P<fname>\w+)\s*[\[(]|^\s*type\s+(?P<tname>\w+)", re.M)

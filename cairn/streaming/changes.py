@@ -21,7 +21,10 @@ def debounce(events: DataFrame, ts: str = "ts", gap: str = "30 seconds", waterma
     timed = events.withColumn("_ts", F.col(ts).cast("timestamp"))
     if watermark:
         timed = timed.withWatermark("_ts", watermark)
-    runs = timed.groupBy(F.session_window("_ts", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    by = list(keys)
+    if timed.isStreaming and not by:  # streams need a key beside the window
+        timed, by = timed.withColumn("_all", F.pmod(F.xxhash64("_ts"), F.lit(1))), ["_all"]
+    runs = timed.groupBy(F.session_window("_ts", gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return runs.select(*keys, F.col("w.start").alias("started"), F.col("w.end").alias("due"), "n")
 
 
