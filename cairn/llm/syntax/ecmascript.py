@@ -40,10 +40,10 @@ Assign = Arrow | 'yield' (NONL '*'? Assign)? | Cond (AsgOp Assign)??
 AsgOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
 Cond = Binary ('?' Assign ':' Assign)?
 Binary = (Unary | PRIV) (BinOp Unary)** ~TTail~
-BinOp = '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' ('>' ('>')?)? | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '<<' | '&' | '|' | '^' | '&&' | '||' | '??' | 'in' | 'instanceof'
+BinOp = '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' | ADJ ADJ?? '>' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '<<' | '&' | '|' | '^' | '&&' | '||' | '??' | 'in' | 'instanceof'
   ~T| ('as' | 'satisfies') ('const' | Type) BinOp~
 Tail = (NONL ('as' | 'satisfies') ('const' | Type))*
-Unary = ('!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | ~T'<' Type '>'~)* Postfix
+Unary = ('!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | ~T'<' Type CLOSE~)* Postfix
 Postfix = Primary Suffix* (NONL ('++' | '--'))??
 Suffix = '.' (IDN | PRIV) | '?.' (IDN | PRIV | P[Args] | B[Expr] | TPL) | P[Args] | B[Expr] | TPL ~T| NONL '!' | TypeArgs P[Args] | TypeArgs TPL~
 PRIV = '#' IDN
@@ -84,9 +84,10 @@ TsDecl = 'interface' ID TypeParams?? Extends?? C[TypeBody] | 'type' ID TypeParam
 Extends = 'extends' Type (',' Type)**
 EnumBody = (EnumItem (',' EnumItem)** ','??)??
 EnumItem = PropName ('=' Assign)??
-TypeParams = '<' TypeParam (',' TypeParam)** ','?? '>'
+TypeParams = '<' TypeParam (',' TypeParam)** ','?? CLOSE
+CLOSE = '>' | ADJ
 TypeParam = ('const' | 'in' | 'out')* ID ('extends' Type)?? ('=' Type)??
-TypeArgs = '<' Type (',' Type)** ','?? '>'
+TypeArgs = '<' Type (',' Type)** CLOSE
 Ret = Type | 'asserts' (ID | 'this') ('is' Type)?? | (ID | 'this') 'is' Type
 Type = FnType | ('|' | '&')?? TypeOp (('|' | '&') TypeOp)** ('extends' Type '?' Type ':' Type)?
 FnType = 'abstract'?? 'new'?? TypeParams?? P[Params] '=>' Ret
@@ -129,7 +130,7 @@ _TOKEN = re.compile(
     r"|//[^\n\r  ]*|/\*(?:[^*]|\*(?!/))*\*/"
     r"|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
     r"|(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?:[^\W\d]\w*)?"
-    r"|===|!==|\*\*=|<<=|>>=|>>>=|&&=|\|\|=|\?\?=|\.\.\.|=>|==|!=|<=|>=|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|&&|\|\||\?\?|\?\.(?!\d)|\*\*|<<"
+    r"|===|!==|\*\*=|<<=|>>=|>>>=|&&=|\|\|=|\?\?=|\.\.\.|=>|==|!=|<=|>=|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|&&|\|\||\?\?|\?\.(?!\d)|\*\*|<<|>{2,}"
     r"|[\s\S]"
 )
 _NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:0|[1-9]\d*(?:_\d+)*))n?|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?")
@@ -157,7 +158,7 @@ class EcmaScript:
         self.jsx, self.script = jsx, script
         self.language = Language(
             _grammar(ts, script), RESERVED if script else RESERVED | {"await", "yield"}, _TS_FRAGMENTS if ts else _FRAGMENTS, _OPERATORS,
-            {"NUM": "n", "STR": "s", "TPL": "t", "RE": "r", "JSX": "x"}, {"Stmts": "Stmts", "TopStmts": "TopStmts", "Members": "Members", "Cases": "Cases"}, newlines=True,
+            {"NUM": "n", "STR": "s", "TPL": "t", "RE": "r", "JSX": "x", "ADJ": "g"}, {"Stmts": "Stmts", "TopStmts": "TopStmts", "Members": "Members", "Cases": "Cases"}, newlines=True,
         )
         self.known: dict[str, str] = dict(self.language.char)
         self.known.update({" ": "", "\n": NEWLINE, "\r\n": NEWLINE, "\r": NEWLINE, _TPL_MARK: "t", _JSX_MARK: "x"})
@@ -178,6 +179,8 @@ class EcmaScript:
             return "n" if _NUMBER.fullmatch(token) or (self.script and token.isdecimal()) else ERROR
         if c == "/" and len(token) > 1:
             return "r"
+        if c == ">":  # signs that touch: one operator, or the ends of nested type arguments
+            return "g" * (len(token) - 1) + self.language.char[">"]
         return "i" if c.isalpha() or c in "_$\\" and len(token) > (c == "\\") else ERROR
 
     def tokens(self, text: str) -> str | None:

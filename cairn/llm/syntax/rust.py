@@ -11,13 +11,13 @@ RESERVED = frozenset(
     "as break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type"
     " unsafe use where while async await dyn abstract become box do final macro override priv typeof unsized virtual yield try".split()
 )
-_OPERATORS = "; , . .. ... ..= :: : -> => = + - * / % ^ ! & | && || << += -= *= /= %= ^= &= |= <<= == != < > >= <= @ _ # $ ? ~"
+_OPERATORS = "; , . .. ... ..= :: : -> => = + - * / % ^ ! & | && || << += -= *= /= %= ^= &= |= <<= >>= == != < > >= <= @ _ # $ ? ~"
 
 _EXPR = """
 Expr@ = 'return' Expr@? | 'break' LT?? Expr@? | 'continue' LT?? | Closure@ | Range@ (AsgOp Expr@)??
 Range@ = Binary@ (('..' | '..=') Binary@?)? | ('..' | '..=') Binary@?
 Binary@ = Unary@ (BinOp Unary@)* (BinOp Closure@)?
-Closure@ = ('for' '<' LT (',' LT)** '>')?? ('static' | 'async' | 'move' | 'const')** ('||' | '|' (ClosureParam (',' ClosureParam)** ','??)?? '|') ('->' TypeNB C[Block] | Expr@)
+Closure@ = ('for' '<' LT (',' LT)** CLOSE)?? ('static' | 'async' | 'move' | 'const')** ('||' | '|' (ClosureParam (',' ClosureParam)** ','??)?? '|') ('->' TypeNB C[Block] | Expr@)
 Unary@ = ('-' | '!' | '*' | '&' 'mut'?? | '&&' 'mut'?? | '&' 'raw' ('const' | 'mut'))* (Postfix@ ('as' TypeNB)** | 'let' Pat '=' Unary@ | 'return' Expr@? | 'break' LT?? | 'continue' LT??)
 Postfix@ = Primary@ Suffix**
 Primary@ = NUM | STR | CHAR | 'true' | 'false' | PathExpr '!' (P[*] | B[*] | C[*]) | PathExpr STRUCT | P[Tuple] | B[Array] | BlockExpr
@@ -32,13 +32,13 @@ Vis = 'pub' P[*]?
 Item = Attr** Vis?? (Fn | Struct | Enum | Trait | Impl | Use | Mod | Const | TypeAlias | Extern | MacroItem)
 Fn = FnHead C[Block]
 FnHead = ('const' | 'async' | 'unsafe' | 'extern' STR??)** 'fn' ID Generics?? P[FnParams] ('->' TypeNB)?? Where??
-Generics = '<' (GenParam (',' GenParam)** ','??)?? '>'
+Generics = '<' (GenParam (',' GenParam)** ','??)?? CLOSE
 GenParam = Attr** (LT (':' LT?? ('+' LT)**)?? | 'const' ID ':' Type ('=' (C[Block] | '-'?? NUM | ID))?? | ID (':' Bounds??)?? ('=' Type)??)
 Where = 'where' (WherePred (',' WherePred)** ','??)??
 WherePred = LT ':' Bounds?? | ForLt?? Type ':' Bounds??
-ForLt = 'for' '<' (LT (',' LT)**)?? '>'
+ForLt = 'for' '<' (LT (',' LT)**)?? CLOSE
 Bounds = Bound ('+' Bound)** '+'??
-Bound = LT | ('?' | '~' 'const')?? ForLt?? Path | P[OneBound] | 'use' '<' (LT | ID) (',' (LT | ID))** '>'
+Bound = LT | ('?' | '~' 'const')?? ForLt?? Path | P[OneBound] | 'use' '<' (LT | ID) (',' (LT | ID))** CLOSE
 OneBound = Bound
 FnParams = (FnParam (',' FnParam)** ','??)??
 FnParam = Attr** ('&' LT?? 'mut'?? 'self' | 'mut'?? 'self' (':' Type)?? | Pat ':' Type | Type | '...')
@@ -70,11 +70,11 @@ FnTypeParams = (FnTypeParam (',' FnTypeParam)** ','??)??
 FnTypeParam = Attr** ((ID | '_') ':')? Type | '...'
 ArrayType = Type (';' Expr)??
 TupleType = (Type (',' Type)** ','??)??
-Path = ('::')?? (PathSeg | '<' Type ('as' Path)?? '>') ('::' PathSeg)**
+Path = ('::')?? (PathSeg | '<' Type ('as' Path)?? CLOSE) ('::' PathSeg)**
 PathSeg = IDS (('::')?? GenArgs | ('::')?? P[TupleType] ('->' TypeNB)??)?
-GenArgs = '<' (GenArg (',' GenArg)** ','??)?? '>'
+GenArgs = '<' (GenArg (',' GenArg)** ','??)?? CLOSE
 GenArg = LT | Type | ID GenArgs?? '=' Type | ID GenArgs?? ':' Bounds | '-'?? NUM | STR | CHAR | 'true' | 'false' | C[Block]
-PathExpr = ('::')?? (IDS | '<' Type ('as' Path)?? '>') ('::' (IDS | GenArgs))**
+PathExpr = ('::')?? (IDS | '<' Type ('as' Path)?? CLOSE) ('::' (IDS | GenArgs))**
 Block = InnerAttr** Stmt** (Attr** Expr)??
 Stmts = InnerAttr** Stmt**
 Stmt = ';' | Item | Attr** 'let' Pat (':' Type)?? ('=' Expr ('else' C[Block])??)?? ';' | Attr** Block1 | Attr** PathExpr '!' C[*] | Attr** Expr ';'
@@ -85,8 +85,9 @@ Arms = InnerAttr** (Arm ',' | BlockArm)** Arm??
 Arm = Attr** Pat ('if' ExprArm)?? '=>' Expr
 BlockArm = Attr** Pat ('if' ExprArm)?? '=>' BlockExpr
 ExprArm = Expr
-BinOp = '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '&&' | '||' | '<<' | '>' ('>')? | '<' | '==' | '!=' | '>=' | '<='
-AsgOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<=' | '>' '>='
+CLOSE = '>' | ADJ
+BinOp = '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '&&' | '||' | '<<' | ADJ '>' | '>' | '<' | '==' | '!=' | '>=' | '<='
+AsgOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<=' | '>>='
 ClosureParam = Attr** PatNo (':' Type)??
 Suffix = '?' | '.' (ID ('::' GenArgs)?? | NUM | 'await') | P[Args] | B[OneExpr]
 OneExpr = Expr
@@ -106,7 +107,7 @@ _TOKEN = re.compile(
     r"[\s﻿‎‏]+|(?:b|c)?r(#*)\"[\s\S]*?\"\1|(?:b|c)?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n\r\t]|\\(?:[nrt\\0'\"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))'"
     r"|'[^\W\d]\w*|r#[^\W\d]\w*|[^\W\d]\w*|//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/"
     r"|(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![._]|[^\W\d])[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[^\W\d]\w*)?"
-    r"|<<=|\.\.\.|\.\.=|\.\.|::|->|=>|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|==|!=|>=|<=|<<|[\s\S]"
+    r"|<<=|>>=|>{2,}|\.\.\.|\.\.=|\.\.|::|->|=>|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|==|!=|>=|<=|<<|[\s\S]"
 )
 _NUMBER = re.compile(r"(?:0x[0-9a-fA-F_]*[0-9a-fA-F]_*|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?")
 
@@ -125,7 +126,7 @@ class Rust:
                 "B": ("ArrayType", "OneExpr", "Array", "Pats"),
                 "C": ("Block", "Fields", "Variants", "Assoc", "UseTrees", "Items", "Foreign", "Arms", "StructLit", "FieldPats"),
             },
-            _OPERATORS, {"NUM": "n", "STR": "s", "CHAR": "c", "LT": "l"}, {"Block": "Stmts"},
+            _OPERATORS, {"NUM": "n", "STR": "s", "CHAR": "c", "LT": "l", "ADJ": "g"}, {"Block": "Stmts"},
         )
         self.known = dict(self.language.char)
 
@@ -141,6 +142,8 @@ class Rust:
             return ERROR if len(token) < 2 else "c" if token[-1] == "'" else "l"
         if c.isdecimal():
             return "n" if _NUMBER.fullmatch(token) else ERROR
+        if c == ">":  # signs that touch: an operator, or the ends of nested arguments
+            return "g" * (len(token) - 1) + self.language.char[">"]
         return "i" if c.isalpha() or c == "_" else ERROR
 
     def tokens(self, text: str) -> str | None:
