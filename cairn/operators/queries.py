@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -77,18 +79,47 @@ def node_metrics(graph: PropertyGraph) -> DataFrame:
     return each.join(F.broadcast(top))  # one row
 
 
+def file_metadata(graph: PropertyGraph, path: str) -> DataFrame:
+    return graph.nodes.where((F.col("node_type") == "file") & (F.col("file_path") == path))
+
+
+def symbol_count(graph: PropertyGraph, path: str | None = None) -> int:
+    """Symbols of a file, or of all."""
+    found = graph.nodes.where("node_type = 'symbol'")
+    return (found.where(F.col("file_path") == path) if path else found).count()
+
+
 class GraphStore:
-    """Answers over the latest snapshot of a timeline, in ``{status, data, error}`` envelopes; the newest id is looked up for every call."""
+    """Answers over the latest snapshot of a timeline, in ``{status, data, error}`` envelopes; the newest id is looked up for every call.
 
-    def __init__(self, store: timeline.Timeline) -> None:
-        self.store = store
+    A call that takes longer than ``timeout`` seconds has its jobs cancelled and answers with an error.
+    """
+
+    def __init__(self, store: timeline.Timeline, timeout: float = 30.0) -> None:
+        self.store, self.timeout = store, timeout
 
     def _answer(self, f: Callable[[PropertyGraph], object]) -> dict:
+        context, group, late = self.store.spark.sparkContext, f"answer-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(self.timeout, stop)
+        context.setJobGroup(group, "query", True)
+        timer.start()
         try:
             data = f(self.store.load())
             return {"status": "ok", "data": [r.asDict(True) for r in data.collect()] if isinstance(data, DataFrame) else data, "error": None}
         except (ValueError, KeyError) as e:
             return {"status": "error", "data": None, "error": str(e)}
+        except Exception as e:
+            if not late.is_set():
+                raise
+            return {"status": "error", "data": None, "error": f"timed out after {self.timeout:g} s: {type(e).__name__}"}
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
 
     def summary(self) -> dict:
         latest = self.store.latest()

@@ -212,8 +212,9 @@ EXTRACTORS = {
 
 
 def detect_language(path: str) -> str | None:
-    dot = path.rfind(".")
-    return LANGUAGES.get(path[dot:].lower()) if dot > path.rfind("/") + 1 or dot >= 0 else None
+    name = path.replace("\\", "/").rsplit("/", 1)[-1]
+    dot = name.rfind(".")
+    return LANGUAGES.get(name[dot:].lower()) if dot > 0 else None
 
 
 def parse_text(path: str, text: str | bytes) -> dict | None:

@@ -31,6 +31,7 @@ def test_timeline(spark, tmp_path):
     assert t.history("file:a.py").count() == 3 and t.churn_rate("a.py") == 0.5 and t.churn_rate("a.py", 2, 1) == 1.0 and t.churn_rate("none.py") == 0.0
     store = GraphStore(t)
     assert store.summary()["data"]["node_count"] == 1 and store.get_node("zz")["status"] == "error" and store.get_changes(0, 1)["status"] == "error"
+    assert GraphStore(t, 0.001)._answer(lambda g: g.nodes.crossJoin(spark.range(10**10)).selectExpr("sum(id) s"))["error"].startswith("timed out")
     assert store.search_nodes("A.PY")["data"][0]["node_id"] == "file:a.py" and store.get_churn("a.py")["data"]["rate"] == 0.5 and len(store.get_timeline()["data"]) == 3
     assert store.get_dead_code()["data"] == [] and store.get_circular_deps()["data"] == [] and store.get_entry_points()["data"] == [{"node_id": "file:a.py"}]
     assert store.get_god_nodes()["status"] == store.get_complexity()["status"] == store.query_graph(limit=5)["status"] == store.get_neighbors("file:a.py")["status"] == "ok"
