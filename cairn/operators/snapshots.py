@@ -67,6 +67,11 @@ def positions(snapshots: DataFrame) -> DataFrame:
     return listed.select("snapshot_id", (F.row_number().over(Window.orderBy("snapshot_id")) - 1).alias("pos"), "created_at")
 
 
+def last_position(order: DataFrame) -> int:
+    """The number of the last listed snapshot, whether it has rows or not; 0 if none is listed."""
+    return order.agg(F.max("pos")).first()[0] or 0
+
+
 def settled_rows(rows: DataFrame, snapshots: DataFrame, ignore: tuple[str, ...] = ("last_seen",), keep_attrs: bool = False) -> DataFrame:
     """``node_id, pos, digest`` (``attrs`` too if asked for): the row that holds of each node and snapshot.
 
@@ -83,8 +88,8 @@ def settled_rows(rows: DataFrame, snapshots: DataFrame, ignore: tuple[str, ...]
     return best.select("node_id", "pos", "v.digest", *(["v.attrs"] if keep_attrs else []))
 
 
-def _tree(rows: DataFrame, bits: int) -> DataFrame:
-    """``pos, leaf, digest``: one digest per snapshot and leaf range of ``2 ** bits`` hash ranges."""
+def _tree(rows: DataFrame) -> DataFrame:
+    """``pos, leaf, digest, n``: one digest per snapshot and leaf range."""
     mixed = F.xxhash64("node_id", "digest")
     return rows.groupBy("pos", "leaf").agg(F.bit_xor(mixed).alias("digest"), F.count(F.lit(1)).alias("n"))
 
@@ -93,10 +98,9 @@ def _leaf(bits: int):
     return F.shiftrightunsigned(F.xxhash64("node_id", F.lit(77)), 64 - bits) if bits else F.lit(0).cast("bigint")
 
 
-def differing_leaves(digests: DataFrame, bits: int) -> DataFrame:
+def differing_leaves(digests: DataFrame, bits: int, last: int) -> DataFrame:
     """``pos, leaf``: ranges that differ between snapshot ``pos - 1`` and ``pos``, found from the root down."""
     shift = lambda down: F.shiftrightunsigned("leaf", down)
-    last = digests.agg(F.max("pos").alias("last"))
     open_ = None
     for level in range(0, bits + FAN_OUT_BITS, FAN_OUT_BITS):
         down = max(0, bits - level)
@@ -105,7 +109,7 @@ def differing_leaves(digests: DataFrame, bits: int) -> DataFrame:
             here = here.groupBy("pos", "range").agg(F.bit_xor("digest").alias("digest"), F.sum("n").alias("n"))
         old = here.withColumn("pos", F.col("pos") + 1)
         sides = here.select("pos", "range", "digest", "n", F.lit(1).alias("side")).unionByName(
-            old.join(last, F.col("pos") <= F.col("last")).select("pos", "range", "digest", "n", F.lit(-1).alias("side"))
+            old.where(F.col("pos") <= last).select("pos", "range", "digest", "n", F.lit(-1).alias("side"))
         )
         if open_ is not None:
             entered = open_.select("pos", F.col("range").alias("up"))
@@ -118,8 +122,8 @@ def differing_leaves(digests: DataFrame, bits: int) -> DataFrame:
     return open_.select("pos", F.col("range").alias("leaf"))
 
 
-def changes(rows: DataFrame, leaf_rows: int = 4) -> DataFrame:
-    """``node_id, pos, kind``: nodes added, removed or modified from snapshot ``pos - 1`` to ``pos``.
+def changes(rows: DataFrame, last: int, leaf_rows: int = 4) -> DataFrame:
+    """``node_id, pos, kind``: nodes added, removed or modified from snapshot ``pos - 1`` to ``pos``, up to snapshot ``last``.
 
     ``rows`` is a settled table (``node_id, pos, digest``), materialized, as it is read twice. ``leaf_rows`` is
     the aim for rows per leaf range and snapshot: it sets how fine the tree is, not the result.
@@ -127,7 +131,7 @@ def changes(rows: DataFrame, leaf_rows: int = 4) -> DataFrame:
     n, per = rows.agg(F.count(F.lit(1)), F.countDistinct("pos")).first()
     bits = FAN_OUT_BITS * max(0, math.ceil(math.log(max(1.0, n / max(1, per) / leaf_rows), 2**FAN_OUT_BITS)))
     placed = rows.select("node_id", "pos", "digest", _leaf(bits).alias("leaf"))
-    open_ = differing_leaves(_tree(placed, bits), bits)
+    open_ = differing_leaves(_tree(placed), bits, last)
     new = placed.select("node_id", "pos", "leaf", F.col("digest").alias("new"), F.lit(None).cast("bigint").alias("old"))
     old = placed.select("node_id", (F.col("pos") + 1).alias("pos"), "leaf", F.lit(None).cast("bigint").alias("new"), F.col("digest").alias("old"))
     sides = new.unionByName(old).join(open_, ["pos", "leaf"], "left_semi")
@@ -145,7 +149,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, ignore: tuple[str, .
     order = positions(snapshots)
     to = order.select(F.col("pos"), F.col("snapshot_id").alias("snapshot_to"))
     from_ = order.select((F.col("pos") + 1).alias("pos"), F.col("snapshot_id").alias("snapshot_from"))
-    found = changes(settled).join(from_.join(to, "pos"), "pos")
+    found = changes(settled, last_position(order)).join(from_.join(to, "pos"), "pos")
     return found.select("snapshot_from", "snapshot_to", "node_id", F.col("kind").alias("change_kind"))
 
 
@@ -155,13 +159,13 @@ def _runs(settled: DataFrame, order: DataFrame) -> DataFrame:
     They follow from the changes alone: a version starts in the first snapshot or where a node was added or
     modified, and lasts until the snapshot before its next change, or to the last one.
     """
-    found = changes(settled)
-    last = order.agg(F.max("pos").alias("last"))
+    last = last_position(order)
+    found = changes(settled, last)
     first = settled.where("pos = 0").select("node_id", "pos", F.lit("added").alias("kind"))
     each = found.unionByName(first)
     follows = F.lead("pos").over(Window.partitionBy("node_id").orderBy("pos"))
-    spans = each.withColumn("next", follows).where("kind <> 'removed'").crossJoin(F.broadcast(last))  # one row
-    return spans.select("node_id", F.col("pos").alias("pos_from"), F.coalesce(F.col("next") - 1, "last").alias("pos_to"))
+    spans = each.withColumn("next", follows).where("kind <> 'removed'")
+    return spans.select("node_id", F.col("pos").alias("pos_from"), F.coalesce(F.col("next") - 1, F.lit(last)).alias("pos_to"))
 
 
 def version_runs(rows: DataFrame, snapshots: DataFrame, ignore: tuple[str, ...] = ("last_seen",)) -> DataFrame:

@@ -51,7 +51,7 @@ def test_changes_and_runs_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == runs
     for leaf_rows in (1, 1000):
         settled = s.settled_rows(data, listed)
-        assert s.changes(settled, leaf_rows).count() == len(changes)
+        assert s.changes(settled, len(heads) - 1, leaf_rows).count() == len(changes)
 
 
 def test_history_columns(spark):
@@ -68,6 +68,9 @@ def test_empty_ties_and_gaps(spark):
     data, listed = tables(spark, [(1, "a", '{"x": 1}', 1), (1, "a", '{"x": 1}', 1), (3, "a", '{"x": 1}', 1)], [1, 2, 3])
     assert {tuple(r) for r in s.snapshot_changes(data, listed).collect()} == {(1, 2, "a", "removed"), (2, 3, "a", "added")}
     assert {tuple(r) for r in s.version_runs(data, listed).collect()} == {("a", 1, 1), ("a", 3, 3)}
+    data, listed = tables(spark, [(1, "a", '{"x": 1}', 1)], [1, 2, 3])  # the last snapshots are empty
+    assert {tuple(r) for r in s.snapshot_changes(data, listed).collect()} == {(1, 2, "a", "removed")}
+    assert {tuple(r) for r in s.version_runs(data, listed).collect()} == {("a", 1, 1)}
     tie = [(1, "a", '{"x": 1}', 1), (1, "a", '{"x": 2}', 1)]
     a, b = (s.settled_rows(*tables(spark, t, [1])).first().digest for t in (tie, tie[::-1]))
     assert a == b  # equal times: the greater digest, whatever the order
