@@ -26,7 +26,7 @@ SPAN = max(m[-1] for m in MASKS) + 1
 #: The share of a passage's words that must be common in order, and the share that must lie under joined seeds:
 #: words in order alone are also found by chance between texts of one style.
 SHARE = 0.5
-SEED_SHARE = 0.45
+SEED_SHARE = 0.5
 #: Words of passages that a task holds at a time (about 200 bytes a word); more passages take further passes.
 HELD_WORDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
