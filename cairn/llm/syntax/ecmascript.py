@@ -141,10 +141,25 @@ _SKIP = re.compile(
     re.M,
 )
 _TEXT = re.compile(r"[^<{]+")
+_SLASH_AFTER = re.compile(r"[)}][ \t]*/(?![/*])")
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _SPACE = re.compile(r"\s*(?:/\*[\s\S]*?\*/\s*)*")
 
 
+def _apart(m: re.Match) -> str:
+    """A line end before a slash that begins a regular expression: after a block, or after the condition of a statement."""
+    if m.group()[0] == ")":
+        depth, i = 0, m.start()
+        while i >= 0:
+            depth += (m.string[i] == ")") - (m.string[i] == "(")
+            if not depth:
+                break
+            i -= 1
+        if not re.search(r"\b(?:if|while|for|with)\s*$", m.string[max(0, i - 40) : max(0, i)]):
+            return m.group()
+    return m.group()[:-1] + "\n/"
+
+
 def _grammar(ts: bool, script: bool) -> str:
     text = _GRAMMAR + (_TYPES if ts else "")
     text = re.sub(r"~T((?:(?!~T)[^~]|'~')*?)~", r"\1" if ts else "", text)
@@ -155,7 +170,7 @@ class EcmaScript:
     """``check(text)`` tells whether a text is valid. ``jsx``: JSX elements are read; ``ts``: TypeScript; ``script``: no module."""
 
     def __init__(self, jsx: bool = False, ts: bool = False, script: bool = False) -> None:
-        self.jsx, self.script = jsx, script
+        self.jsx, self.ts, self.script = jsx, ts, script
         self.language = Language(
             _grammar(ts, script), RESERVED if script else RESERVED | {"await", "yield"}, _TS_FRAGMENTS if ts else _FRAGMENTS, _OPERATORS,
             {"NUM": "n", "STR": "s", "TPL": "t", "RE": "r", "JSX": "x", "ADJ": "g"}, {"Stmts": "Stmts", "TopStmts": "TopStmts", "Members": "Members", "Cases": "Cases"}, newlines=True,
@@ -225,10 +240,11 @@ class EcmaScript:
         out.append(text[at:])
         return "".join(out)
 
-    def _embedded(self, text: str, rule: str = "Expr") -> bool:
+    def _embedded(self, text: str) -> bool:
+        """Whether a text is an expression (or, in TypeScript, a type: templates are types too)."""
         got = self.tokens(text)
         folded = None if got is None else self.language.fold(got)
-        return folded is not None and self.language.matches(rule, folded)
+        return folded is not None and (self.language.matches("Expr", folded) or (self.ts and self.language.matches("Type", folded)))
 
     def _template(self, text: str, start: int) -> int:
         """The end of the template that starts here, -1 if it has none or embeds something invalid."""
@@ -349,15 +365,15 @@ class EcmaScript:
         text = text.lstrip("﻿")
         if text.startswith("#!"):
             text = "//" + text
-        got = self.tokens(text)
-        if got is None:
-            return False
         self.language.trim()
-        folded = self.language.fold(got)
+        return self._check(text) or (_SLASH_AFTER.search(text) is not None and self._check(_SLASH_AFTER.sub(_apart, text)))
+
+    def _check(self, text: str) -> bool:
+        got = self.tokens(text)
+        folded = None if got is None else self.language.fold(got)
         if folded is None:
             return False
-        if self.language.char["return"] in folded and re.search(rf"(?:^|[\n;]){self.language.char['return']}", folded):
+        leave = self.language.char["return"]
+        if leave in folded and re.search(rf"(?:^|[\n;]){leave}", folded):
             return False  # a function's end outside of functions
-        if self.script and re.search(rf"(?:^|[\n;])(?:{self.language.char['export']}|{self.language.char['import']}(?![{self.language.char['.']}P]))", folded):
-            return self.language.matches("Stmts", folded)
         return self.language.matches("Stmts" if self.script else "TopStmts", folded)

@@ -14,6 +14,7 @@ deriving ``A`` (``*``: any), ``? * +`` as usual with all ends, ``?? **`` with th
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
 ERROR = "\x01"
@@ -28,6 +29,9 @@ _DSL = re.compile(r"\s*('[^']+'|\w+\[[\w*]*\]|\w+|\*\*|\?\?|[()|?*+])")
 
 Run = Callable[[str, int], tuple]
 
+#: Long chains without brackets (else if, conditional expressions) nest Python calls, which take no C stack.
+RECURSION = 100_000
+
 
 class Language:
     """One grammar with its token classes. ``fragments`` lists per bracket kind the rules tried on its content."""
@@ -304,12 +308,15 @@ class Language:
         elif not empty:
             return False
         kept, self.memo = self.memo, {}
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, RECURSION))
         try:
             ends = self.rule(name)(s, 0)
         except RecursionError:
             ends = ()
         finally:
             self.memo = kept
+            sys.setrecursionlimit(limit)
         return any(s[e:].strip(NEWLINE) == STOP for e in ends)
 
     def _pieces(self, content: str) -> list[str]:

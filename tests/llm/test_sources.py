@@ -13,6 +13,7 @@ GOOD = {
         "const {a, b: [c, d], ...e} = f?.g?.[1] ?? h?.(2);\nx = y\nz = function () { return };\nvar fn = x => ({ a, b, [c]: 1, get d() { return 1 }, async e() {}, 'f': 2, 3: 4 });",
         "switch (x) { case 1: case 2: foo(); break; default: bar() }\ntry { a } catch { b } finally { c }\ndo x++; while (x < 5)\nnew Foo; new Foo.Bar(1).x(); a **= 2; !function(e,t){x}(1,2);(()=>{var e={}})();",
         "\ufeff#!/usr/bin/env node\nlet n = 1_000n + 0xff - .5e10\nimport.meta.url; import('x').then(y => y)\n[1,,2,...x];[a, b] = [b, a]; ({a} = b);\nx.if.class = 5 // `unclosed",
+        "if (ok) /a[/)]b/g.test(x)\nwhile (x) {} /re/.exec(y); const q = (a + b) / c / d;",
         "/* multi\nline */ const s = 'it\\'s', t = \"a\\\nb\";\r\nif (a)\r\n  b()\r\nelse c()\r\n",
     ],
     "cjs": ["const x = require('x');\nmodule.exports = { x };\nwith (x) { y }\nvar await_ = 010;"],
@@ -20,6 +21,7 @@ GOOD = {
         "interface A<T extends B = C> extends D<E> { a?: string; readonly b: number[]; (x: number): string; [k: string]: any; m<U>(x: U): asserts x is string }\ntype M = { readonly [K in keyof T]?: T[K] };",
         "export abstract class P<T> extends Q<T> implements R { private readonly x: number = 1; constructor(private a: string) { super(); } abstract foo(): void; static async bar<T>(x: T): Promise<Map<string, T[]>> { return x as unknown as any; } y!: string; }",
         "enum E { A, B = 1 }\nfunction f(this: W, x: any, ...y: Array<Array<number>>): x is string { const a = <any>x; foo<Bar>(1); return a!.b![0]!; }\nimport { type C, D } from 'c';\nlet v: typeof import('x').y; let q = a < b && c > d;",
+        "type T1 = `a${infer U}b${string}`; let z: Array<Array<Array<number>>> = a >> b >>> c;",
         "type X = string | (() => void) | [a: string, ...c: T[]];\ntype C1 = T extends (infer U)[] ? U : never;\ndeclare module 'x' { export function y(): void; }\nconst g = async <T,>(x: T): Promise<T> => x;",
     ],
     "jsx": ["export function P() {\n  return (\n    <div className=\"w\" {...props} onClick={() => { a }}>\n      <p>Don't {x ? <b>y</b> : null}</p>\n <br/>{/* c */}<></>{l.map(x => <Li key={x}>{x}</Li>)}\n </div>\n );\n}\nif (a < b) { c > d }"],
@@ -69,6 +71,9 @@ def test_remembered_results_do_not_change_answers():
 
 def test_deep_and_long():
     assert P.valid("js", "x = " + "[" * 3000 + "]" * 3000 + ";") and not P.valid("js", "x = " + "[" * 3000 + "]" * 2999 + ";")
+    chain = "if (a) {\n} " + "else if (b) {\n} " * 3000
+    assert P.valid("js", chain) and P.valid("js", "x = " + "a ? b : " * 3000 + "c;") and not P.valid("js", chain + "else else")
+    assert P.valid("rs", "fn f() { if a {} " + "else if b {} " * 2000 + "}") and P.valid("ts", "type A = " + "B extends C ? D : " * 1000 + "E;")
     assert P.valid("go", "package a\n" + "var x = 1\n" * 20_000) and P.valid("rs", "fn f() {" + " a();" * 20_000 + "}")
 
 
