@@ -116,7 +116,8 @@ def differing_leaves(digests: DataFrame, bits: int, last: int) -> DataFrame:
             up = F.shiftrightunsigned("range", min(FAN_OUT_BITS, bits - level + FAN_OUT_BITS))
             sides = sides.withColumn("up", up).join(entered, ["pos", "up"], "left_semi")
         equal = (F.bit_xor("digest") == 0) & (F.sum(F.col("n") * F.col("side")) == 0)
-        open_ = sides.groupBy("pos", "range").agg(equal.alias("equal")).where(~F.col("equal") & (F.col("pos") > 0)).select("pos", "range")
+        differing = sides.groupBy("pos", "range").agg(equal.alias("equal")).where(~F.col("equal") & (F.col("pos") > 0)).select("pos", "range")
+        open_ = materialize(differing, "ranges")  # a plan over all levels would weigh on the driver
         if not down:
             break
     return open_.select("pos", F.col("range").alias("leaf"))
@@ -131,7 +132,7 @@ def changes(rows: DataFrame, last: int, leaf_rows: int = 4) -> DataFrame:
     n, per = rows.agg(F.count(F.lit(1)), F.countDistinct("pos")).first()
     bits = FAN_OUT_BITS * max(0, math.ceil(math.log(max(1.0, n / max(1, per) / leaf_rows), 2**FAN_OUT_BITS)))
     placed = rows.select("node_id", "pos", "digest", _leaf(bits).alias("leaf"))
-    open_ = differing_leaves(_tree(placed), bits, last)
+    open_ = differing_leaves(materialize(_tree(placed), "digests"), bits, last)
     new = placed.select("node_id", "pos", "leaf", F.col("digest").alias("new"), F.lit(None).cast("bigint").alias("old"))
     old = placed.select("node_id", (F.col("pos") + 1).alias("pos"), "leaf", F.lit(None).cast("bigint").alias("new"), F.col("digest").alias("old"))
     sides = new.unionByName(old).join(open_, ["pos", "leaf"], "left_semi")
