@@ -83,12 +83,16 @@ class MergeReplay:
         n = len(sym)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        merged = self._merged
+        merged, known = self._merged, self.pairs
         where: dict[int, list[int]] = {}
         for p in range(n - 1):
             a, b = sym[p], sym[p + 1]
-            if a >= 0 and b >= 0 and (m := merged(a, b)) >= 0:
-                where.setdefault(m, []).append(p)
+            if a >= 0 and b >= 0:
+                m = known.get((a, b))
+                if m is None:
+                    m = merged(a, b)
+                if m >= 0:
+                    where.setdefault(m, []).append(p)
         queue = list(where)
         heapq.heapify(queue)
         while queue:
@@ -104,17 +108,25 @@ class MergeReplay:
                 r = after[p] = after[q]
                 if r < n:
                     before[r] = p
-                    if sym[r] >= 0 and (k := merged(m, sym[r])) >= 0:
+                    if (b := sym[r]) >= 0:
+                        k = known.get((m, b))
+                        if k is None:
+                            k = merged(m, b)
+                        if k >= 0:
+                            if k not in where:
+                                where[k] = []
+                                heapq.heappush(queue, k)
+                            where[k].append(p)
+                o = before[p]
+                if o >= 0 and (a := sym[o]) >= 0:
+                    k = known.get((a, m))
+                    if k is None:
+                        k = merged(a, m)
+                    if k >= 0:
                         if k not in where:
                             where[k] = []
                             heapq.heappush(queue, k)
-                        where[k].append(p)
-                o = before[p]
-                if o >= 0 and sym[o] >= 0 and (k := merged(sym[o], m)) >= 0:
-                    if k not in where:
-                        where[k] = []
-                        heapq.heappush(queue, k)
-                    where[k].append(o)
+                        where[k].append(o)
         for i, p in ends:
             ids = []
             while sym[p] != -1:
@@ -138,11 +150,19 @@ class WordCounts:
         self.known.update(zip(new, map(len, self.replay.encode(new))))
 
 
+class _Numbers(dict):
+    """Numbers for words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
+
+
 def _split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts as numbers of words in a dictionary per block; a block's dictionary follows its rows."""
     task = TaskContext.get()
     prefix = task.partitionId() if task else 0
-    block, chars, index = 0, 0, {}
+    block, chars, index = 0, 0, _Numbers()
 
     def dictionary() -> pd.DataFrame:
         words = [w.encode("utf-8", "surrogatepass") for w in index]
@@ -153,15 +173,9 @@ def _split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names: list[str] = []
         start = 0
         for i, text in enumerate(part["text"]):
-            row = []
-            if text:
-                for w in words_of(text):
-                    at = index.get(w)
-                    if at is None:
-                        at = index[w] = len(index)
-                    row.append(at)
-                chars += len(text)
-            rows.append(np.array(row, dtype=np.int32))
+            words = words_of(text) if text else []
+            chars += len(text or "")
+            rows.append(np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words)))
             names.append(f"{prefix}-{block}")
             if chars >= BLOCK_CHARS or i == len(part) - 1:
                 keys = part["key"].iloc[start : i + 1]
@@ -169,7 +183,7 @@ def _split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows, names, start = [], [], i + 1
             if chars >= BLOCK_CHARS:
                 yield dictionary()
-                block, chars, index = block + 1, 0, {}
+                block, chars, index = block + 1, 0, _Numbers()
     if index:
         yield dictionary()
 
