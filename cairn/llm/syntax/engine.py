@@ -229,7 +229,6 @@ class Language:
             return sequence
         if op == "alt":
             ways = [(*self._first(t), self._build(t)) for t in x]
-            kind = self.kind
             table: dict[str, list[Run]] = {}
             language = self
 
@@ -251,7 +250,6 @@ class Language:
                         found = tuple({*found, *got}) if found else got
                 return found
 
-            del kind
             return choose
         inner = self._build(x)
         if op == "?":

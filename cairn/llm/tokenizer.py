@@ -25,9 +25,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s")
 #: The same for texts of ASCII alone, where the standard library's engine is faster.
 ASCII_PATTERN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s")
-#: Words of one block's dictionary and text of one block; they bound a task's memory, not the result.
+#: Characters of text per block; it bounds what a task holds, not the result.
 BLOCK_CHARS = 4_000_000
-BUCKET_WORDS = 100_000
 
 
 def words_of(text: str) -> list[str]:
