@@ -1,14 +1,14 @@
 """Evaluation passages that appear, whole or in part, in corpus documents.
 
-Words are runs of letters and digits, in lower case. Fixed masks pick some of the words in a window and ignore
-the others (spaced seeds); the hashes of the picked words of passages and documents are joined, so a changed word
-hides only the seeds that look at it. Around the joined seeds the longest common subsequence of words is
-taken, and a document holds a passage if enough of the passage's words are found in order.
+Words are runs of letters and digits, in lower case. A stretch can carry half of a passage's words in order only if it has
+half of them in any order, so these are counted first; no leak is lost by that. What is left is decided by the longest
+common subsequence of words, and by how rare its words are in the documents: texts of one style share common words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +16,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import spread
+from cairn.session import materialize, spread
 
 WORD = re.compile(r"[^\W_]+")
 ASCII_WORD = re.compile(r"[a-z0-9]+")
-#: Offsets of the words that each mask looks at. Four words, so that passages with every third word changed still have seeds.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 6))
-SPAN = max(m[-1] for m in MASKS) + 1
-#: The share of a passage's words that must be common in order, and the share that must lie under joined seeds:
-#: words in order alone are also found by chance between texts of one style.
+#: The share of a passage's words that a stretch must have in order, and the share of their rarity: half of the words by
+#: number may be the frame that all texts of one style have. Words left at random carry about their share of the rarity.
 SHARE = 0.5
-SEED_SHARE = 0.5
+RARE_SHARE = 0.43
+#: Words of a stretch for one of the passage: as many may be added as there are. Shorter passages need all words in a row.
+STRETCH = 2
+SHORT = 7
 #: Words of passages that a task holds at a time (about 200 bytes a word); more passages take further passes.
 HELD_WORDS = 500_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
@@ -37,23 +36,6 @@ def words_of(text: str) -> list[str]:
     return (ASCII_WORD if text.isascii() else WORD).findall(text)
 
 
-def seed_hashes(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    """A hash per position for one mask; 0 where a picked word is unknown (id 0) or the window ends."""
-    n = len(ids) - mask[-1]
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, hash(mask) & 0xFFFFFFFF, dtype=np.uint64)
-    alive = np.ones(n, dtype=bool)
-    for o in mask:
-        picked = ids[o : o + n]
-        out ^= picked
-        out *= _MIX
-        out ^= out >> np.uint64(29)
-        alive &= picked != 0
-    out *= alive
-    return out
-
-
 def common_words(window: np.ndarray, masks: dict[int, int], n: int) -> int:
     """Length of the longest common subsequence of a window and a passage of ``n`` words, bit-parallel.
 
@@ -69,80 +51,100 @@ def common_words(window: np.ndarray, masks: dict[int, int], n: int) -> int:
     return n - v.bit_count()
 
 
+def common_weight(window: list[int], passage: list[int], weights: np.ndarray) -> float:
+    """The greatest weight of words that a window and a passage have in order."""
+    window = np.asarray(window, dtype=np.int64)
+    best = np.zeros(len(window) + 1)
+    for w in passage:
+        taken = np.where(window == w, best[:-1] + weights[w], 0.0)
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], taken))
+    return float(best[-1])
+
+
 class Passages:
-    """The distinct passages with their seeds, held by a task."""
+    """The distinct passages, held by a task."""
 
     def __init__(self, texts: list[str]) -> None:
         words = [words_of(t) for t in texts]
         self.vocabulary: dict[str, int] = {}
-        self.ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], dtype=np.uint64) for ws in words]
+        self.ids = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws] for ws in words]
         self.size = np.array([len(x) for x in self.ids], dtype=np.int64)
         self.bits: list[dict[int, int]] = []
         for x in self.ids:
             bits: dict[int, int] = {}
-            for i, w in enumerate(x.tolist()):
+            for i, w in enumerate(x):
                 bits[w] = bits.get(w, 0) | 1 << i
             self.bits.append(bits)
-        # a passage too short for the masks has one seed, all its words
-        short = sorted({int(n) for n in self.size if 0 < n < SPAN})
-        self.masks = [*MASKS, *(tuple(range(n)) for n in short)]
-        self.tables = [self._table(m, m not in MASKS) for m in self.masks]
-
-    def _table(self, mask: tuple[int, ...], short: bool) -> tuple[np.ndarray, ...]:
-        own = [k for k, n in enumerate(self.size) if (n == len(mask) if short else n >= SPAN)]
-        hashes = [seed_hashes(self.ids[k], mask) for k in own]
-        h = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
-        order = np.argsort(h, kind="stable")
-        owner = np.repeat(np.array(own, dtype=np.int64), np.array([len(x) for x in hashes], dtype=np.int64))
-        at = np.concatenate([np.arange(len(x)) for x in hashes] + [np.zeros(0, dtype=np.int64)])
-        maybe = np.zeros(1 << 20, dtype=bool)
-        maybe[h >> np.uint64(44)] = True
-        return h[order], owner[order], at[order], maybe
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words that joined seeds look at: document position, passage, position in the passage."""
-        out = [(np.zeros(0, dtype=np.int64),) * 3]
-        for mask, (known, owner, at, maybe) in zip(self.masks, self.tables):
-            h = seed_hashes(ids, mask)
-            p = np.flatnonzero(maybe[h >> np.uint64(44)] & (h != 0))
-            if not len(p):
+        self.need = np.where(self.size < SHORT, self.size, np.ceil(SHARE * self.size)).astype(np.int64)
+        self.step = np.where(self.size < SHORT, 1, self.size // 4)
+        self.window = np.where(self.size < SHORT, self.size, STRETCH * self.size + self.step)
+        # passages of like length share the blocks in which their words are counted
+        classes: dict[int, list[int]] = {}
+        for k, n in enumerate(self.size.tolist()):
+            if n:
+                classes.setdefault(n.bit_length(), []).append(k)
+        self.classes = [self._postings(own) for own in classes.values()]
+        self.weigh({})
+
+    def weigh(self, counts: dict[int, int]) -> None:
+        """Sets the rarity of words from the number of documents that have them (0: all documents); a word in none counts as in one."""
+        self.weights = np.full(len(self.vocabulary) + 1, np.log1p(counts.get(0, 1)))
+        for w, n in counts.items():
+            self.weights[w] = np.log1p(counts[0] / n)
+        self.least = np.array([RARE_SHARE * self.weights[x].sum() for x in self.ids]) - 1e-9
+
+    def _postings(self, own: list[int]) -> tuple[np.ndarray, ...]:
+        """Passages, length of a block, and for each word the passages that have it and how often."""
+        flat = np.array([w * len(own) + i for i, k in enumerate(own) for w in self.ids[k]], dtype=np.int64)
+        pairs, times = np.unique(flat, return_counts=True)
+        start = np.searchsorted(pairs // len(own), np.arange(len(self.vocabulary) + 2))
+        return np.array(own), int(self.window[own].max()), start[:-1], np.diff(start), pairs % len(own), times
+
+    def find(self, ids: np.ndarray) -> dict[int, float]:
+        """The passages that stretches of the words ``ids`` hold, at any place, with the greatest share of their words in order."""
+        found: dict[int, float] = {}
+        for own, block, start, many, passage, times in self.classes:
+            at = np.flatnonzero(ids)
+            at = at[many[ids[at]] > 0]
+            if not len(at):
+                continue
+            blocks = int(at[-1]) // block + 1
+            words, counts = np.unique(at // block * len(many) + ids[at], return_counts=True)
+            where, words = np.divmod(words, len(many))
+            n = many[words]
+            posting = np.repeat(start[words] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            cell = np.repeat(where, n) * len(own) + passage[posting]
+            both = np.minimum(np.repeat(counts, n), times[posting])
+            near = np.ones((blocks, len(own)), dtype=bool)
+            for share, least in ((both, self.need[own]), (both * np.repeat(self.weights[words], n), self.least[own])):
+                bag = np.bincount(cell, share, (blocks + 1) * len(own)).reshape(blocks + 1, len(own))
+                near &= bag[:-1] + bag[1:] >= least
+            for b, i in np.argwhere(near).tolist():
+                k = int(own[i])
+                share = self._best(k, ids[b * block : (b + 2) * block], b * block, block)
+                if share > found.get(k, 0):
+                    found[k] = share
+        return found
+
+    def _best(self, k: int, ids: np.ndarray, offset: int, block: int) -> float:
+        """The share in order of the best stretch that begins in the first ``block`` words of ``ids``, 0 if none holds the passage."""
+        bits, need, n = self.bits[k], int(self.need[k]), int(self.size[k])
+        words = ids.tolist()
+        at = [j for j, w in enumerate(words) if w in bits]
+        if common_words([words[j] for j in at], bits, n) < need:
+            return 0.0
+        best, last = 0, (0, 0)
+        step, window = int(self.step[k]), int(self.window[k])
+        for begin in range(-offset % step, block, step):
+            lo, hi = bisect_left(at, begin), bisect_left(at, begin + window)
+            if hi - lo < need or (lo, hi) == last:
                 continue
-            lo, hi = np.searchsorted(known, h[p], "left"), np.searchsorted(known, h[p], "right")
-            n = hi - lo
-            which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            p = np.repeat(p, n)
-            out += [(p + o, owner[which], at[which] + o) for o in mask]
-        return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
-
-    def find(self, ids: np.ndarray) -> list[tuple[int, float, int]]:
-        """``passage, share, start`` of the passages held by stretches of the words ``ids``, at any place.
-
-        Words under seeds are gathered in bands of diagonals, half a passage wide and overlapping by half, so that
-        added and dropped words don't part what belongs together. A band holds the passage if its seeds cover enough
-        different words of it and enough words are common in order.
-        """
-        p, k, at = self.hits(ids)
-        if not len(p):
-            return []
-        names, dense = np.unique(k, return_inverse=True)
-        size = self.size[k]
-        width = np.maximum(8, size // 2)
-        most = int(size.max()) + 1
-        found: dict[int, tuple[float, int]] = {}
-        for half in (0, 1):
-            band = (p - at + size + half * (width // 2)) // width
-            bands = int(band.max()) + 1
-            group = np.unique((dense * bands + band) * most + at) // most
-            group, covered = np.unique(group, return_counts=True)
-            passage = names[group // bands]
-            for g, x in zip(group[covered >= SEED_SHARE * self.size[passage]].tolist(), passage[covered >= SEED_SHARE * self.size[passage]].tolist()):
-                n = int(self.size[x])
-                w = max(8, n // 2)
-                lo = max(0, g % bands * w - half * (w // 2) - n)
-                got = common_words(ids[lo : lo + w + 2 * n].tolist(), self.bits[x], n) / n
-                if got >= SHARE and got > found.get(x, (0, 0))[0]:
-                    found[x] = (got, lo)
-        return [(x, *v) for x, v in found.items()]
+            last = lo, hi
+            held = [words[j] for j in at[lo:hi]]
+            got = common_words(held, bits, n)
+            if got >= need and got > best and common_weight(held, self.ids[k], self.weights) >= self.least[k]:
+                best = got
+        return best / n
 
 
 def find_leaks(
@@ -164,18 +166,30 @@ def find_leaks(
         held = distinct.where(F.pmod(F.xxhash64("digest"), F.lit(passes)) == i).collect()
         sent = docs.sparkSession.sparkContext.broadcast([(r.digest, r.passage) for r in held])
 
-        def search(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def number(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            """Documents as numbers of passages' words (0: any other), and in a last row the documents that have each word (0: all)."""
             known = Passages([t for _, t in sent.value])
             ids_of = known.vocabulary.get
+            had = np.zeros(len(known.vocabulary) + 1, dtype=np.int64)
+            for part in parts:
+                ids = [np.array([ids_of(w, 0) for w in words_of(t)], dtype=np.int32) for t in part["text"]]
+                for x in ids:
+                    had[np.unique(np.append(x, 0))] += 1
+                yield pd.DataFrame({"key": part["key"], "ids": ids, "had": None})
+            yield pd.DataFrame({"key": [None], "ids": [None], "had": [had]})
+
+        numbered = materialize(texts.mapInPandas(number, f"key {kind}, ids array<int>, had array<bigint>"), "numbered")
+        counted = numbered.where("had is not null").select(F.posexplode("had").alias("word", "n")).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+        counts = docs.sparkSession.sparkContext.broadcast({r.word: r.n for r in counted.collect()})
+
+        def search(parts: Iterator[pd.DataFrame], sent=sent, counts=counts) -> Iterator[pd.DataFrame]:
+            known = Passages([t for _, t in sent.value])
+            known.weigh(counts.value)
             for part in parts:
-                rows = []
-                for k, t in zip(part["key"], part["text"]):
-                    words = words_of(t)
-                    ids = np.fromiter((ids_of(w, 0) for w in words), dtype=np.uint64, count=len(words))
-                    rows += [(k, sent.value[x][0], share) for x, share, _ in known.find(ids)]
+                rows = [(k, sent.value[x][0], share) for k, ids in zip(part["key"], part["ids"]) for x, share in known.find(ids).items()]
                 yield pd.DataFrame(rows, columns=["key", "digest", "share"])
 
-        here = texts.mapInPandas(search, f"key {kind}, digest string, share double")
+        here = numbered.where("ids is not null").select("key", "ids").mapInPandas(search, f"key {kind}, digest string, share double")
         found = here if found is None else found.unionByName(here)
     each = wanted.select("item", "digest").distinct()
     return found.join(each, "digest").select(F.col("key").alias(key), F.col("item").alias(item), "share")

@@ -102,6 +102,25 @@ def test_leaks(spark):
     assert several == got
 
 
+def test_leaks_with_single_words_changed_dropped_and_added(spark):
+    rnd, p = passage_and_noise(5)
+    half = set(rnd.sample(range(60), 24))
+    texts = [
+        (1, hide(rnd, p[::2])), (2, hide(rnd, [w for i, w in enumerate(p) if i % 4])), (3, hide(rnd, [x for i, w in enumerate(p) for x in ([w, "new"] if i % 3 == 2 else [w])])),
+        (4, hide(rnd, [f"other{i}" if i in half else w for i, w in enumerate(p)])), (20, hide(rnd, p[:20])), (21, hide(rnd, p[::-1])),
+    ]
+    items = spark.createDataFrame([(1, " ".join(p))], "item_id long, passage string")
+    assert {r.doc_id for r in leaks.find_leaks(docs(spark, texts), items).collect()} == {1, 2, 3, 4}
+
+
+def test_a_frame_of_common_words_is_no_leak(spark):
+    rnd = random.Random(6)
+    frame = lambda names: " ".join(f"if {names()} is not none then return self check" for _ in range(8))
+    items = spark.createDataFrame([(1, frame(lambda: f"a{rnd.randrange(10**6)} b{rnd.randrange(10**6)} c{rnd.randrange(10**6)} d{rnd.randrange(10**6)}"))], "item_id long, passage string")
+    texts = [(i, frame(lambda: f"x{rnd.randrange(10**6)}")) for i in range(100)] + [(500, "so " + items.first().passage)]
+    assert {r.doc_id for r in leaks.find_leaks(docs(spark, texts), items).collect()} == {500}
+
+
 def test_short_passages_and_unicode(spark):
     items = spark.createDataFrame([(1, "Grüße aus Köln"), (2, "один два три четыре пять шесть семь восемь")], "item_id long, passage string")
     found = leaks.find_leaks(docs(spark, [(1, "x GRÜSSE? grüße, aus KÖLN y"), (2, "так: один, два три ЧЕТЫРЕ пять шесть семь восемь!"), (3, "aus Köln")]), items)
