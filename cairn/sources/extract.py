@@ -1,6 +1,6 @@
 """Symbols, imports, inheritance and calls of source files.
 
-Python is read with its own parser (after a syntax error the part before it is read). The other languages are read by a
+Python is read with its own parser (of broken files, all but the smallest blocks that hold the errors). The other languages are read by a
 tokenizer that blanks comments and strings and follows braces; that is enough for declarations and calls, and never fails.
 """
 
@@ -37,26 +37,91 @@ def _call_name(node: ast.expr) -> str:
     return _call_name(node.func) if isinstance(node, ast.Call) else ""
 
 
-def _python(text: str) -> dict:
-    out = {"symbols": [], "imports": [], "inheritance": [], "calls": [], "errors": []}
-    lines = text.split("\n")
-    tree = None
-    for _ in range(20):
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                tree = ast.parse("\n".join(lines))
+_PY_TOKEN = re.compile(r"(?P<long>\"{3}(?:[^\\]|\\[\s\S])*?\"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3})|#[^\n]*|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'")
+_PY_INSIDE = re.compile(r"[\s)\]}#]|(?:else|elif|except|finally)\b|$")
+
+
+def _attempt(lines: list[str]) -> tuple[ast.Module | None, int | None]:
+    """The tree, or the line (from 0) of the error where the parser tells it."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return ast.parse("\n".join(lines)), None
+    except SyntaxError as e:
+        return None, None if e.lineno is None else max(0, min(e.lineno, len(lines)) - 1)
+    except (ValueError, RecursionError, MemoryError):
+        return None, None
+
+
+def _starts(lines: list[str], strings: bool = True) -> list[int]:
+    """Lines at which top-level statements begin, decorators included; with ``strings`` none inside long strings."""
+    text, inside = "\n".join(lines), set()
+    if strings:
+        for m in _PY_TOKEN.finditer(text):
+            if m["long"] and "\n" in m["long"]:
+                first = text.count("\n", 0, m.start())
+                inside.update(range(first + 1, first + 1 + m["long"].count("\n")))
+    out, decorated = [], False
+    for i, line in enumerate(lines):
+        if i not in inside and not _PY_INSIDE.match(line):
+            if not decorated:
+                out.append(i)
+            decorated = line[0] == "@"
+    return out
+
+
+def _without(lines: list[str], at: int) -> list[str] | None:
+    """The lines of a block with ``pass`` in place of the smallest nested statement around ``at`` that removes the error there."""
+    while at > 0 and not lines[at].strip():
+        at -= 1
+    indent = lambda x: len(x) - len(x.lstrip())
+    first, depth = at, indent(lines[at])
+    while depth:
+        last = first + 1
+        while last < len(lines) and (not lines[last].strip() or last <= at or indent(lines[last]) > depth):
+            last += 1
+        trial = [*lines[:first], lines[first][:depth] + "pass", *[""] * (last - first - 1), *lines[last:]]
+        tree, error = _attempt(trial)
+        if tree or (error is not None and error >= last):
+            return trial
+        while first > 0 and (not lines[first].strip() or indent(lines[first]) >= depth):
+            first -= 1
+        if indent(lines[first]) >= depth:
             break
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-            out["errors"] = [SYNTAX_ERROR]
-            cut = (getattr(e, "lineno", None) or 1) - 1
-            while cut > 0 and lines[cut : cut + 1] and lines[cut][:1] in (" ", "\t", ""):
-                cut -= 1
-            if not cut or cut >= len(lines):
+        depth = indent(lines[first])
+    return None
+
+
+def _python_tree(text: str) -> tuple[ast.Module, bool]:
+    """The tree of all that can be parsed, and whether that is the whole file."""
+    lines = text.replace("\r", "\n").replace("\0", " ").split("\n")
+    module, whole = ast.Module(body=[], type_ignores=[]), "\0" not in text
+    todo = [(0, lines)]
+    while todo:
+        offset, part = todo.pop()
+        tree, at = _attempt(part)
+        if tree:
+            module.body += (ast.increment_lineno(tree, offset) if offset else tree).body
+            continue
+        whole = False
+        for strings in (True, False):
+            cuts = [0, *(i for i in _starts(part, strings) if i), len(part)]
+            if at is not None:  # what lies before and after the block with the error stays together
+                cuts = sorted({0, max(i for i in cuts if i <= at), min(i for i in cuts if i > at), len(part)})
+            if len(cuts) > 2:
+                todo += [(offset + a, part[a:b]) for a, b in reversed(list(zip(cuts, cuts[1:])))]
+                break
+            if strings and at is not None and (rest := _without(part, at)):
+                todo.append((offset, rest))
                 break
-            lines = lines[:cut]
-    if tree is None:
-        return out
+    return module, whole
+
+
+def _python(text: str) -> dict:
+    out = {"symbols": [], "imports": [], "inheritance": [], "calls": [], "errors": []}
+    tree, whole = _python_tree(text)
+    if not whole:
+        out["errors"] = [SYNTAX_ERROR]
 
     def visit(node: ast.AST, scope: list[str]) -> None:
         for child in ast.iter_child_nodes(node):
