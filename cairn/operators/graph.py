@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -246,13 +247,19 @@ def strongly_connected_components(nodes: DataFrame, edges: DataFrame, task_arcs:
         arcs = materialize(_inside(arcs, left), "arcs")
 
 
-def _component_cycles(max_length: int):
+def _component_cycles(max_length: int | None):
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         arcs: dict[str, list[str]] = {}
+        into: dict[str, list[str]] = {}
         for a, b in sorted(zip(pdf["source"], pdf["target"])):
             arcs.setdefault(a, []).append(b)
+            into.setdefault(b, []).append(a)
         best: dict[frozenset, list[str]] = {}
         for start in sorted(arcs):
+            back, front = {start}, [start]  # nodes from which the start is reached by ids above it
+            while front:
+                front = [*{v for w in front for v in into.get(w, ()) if v > start and v not in back}]
+                back.update(front)
             path, on = [start], {start}
             work = [iter(arcs[start])]
             while work:
@@ -261,7 +268,7 @@ def _component_cycles(max_length: int):
                         key = frozenset(path)
                         if key not in best or path < best[key]:
                             best[key] = path[:]
-                    elif w > start and w not in on and len(path) < max_length:
+                    elif w in back and w not in on and (max_length is None or len(path) < max_length):
                         path.append(w)
                         on.add(w)
                         work.append(iter(arcs.get(w, ())))
@@ -275,12 +282,12 @@ def _component_cycles(max_length: int):
     return find
 
 
-def simple_cycles(edges: DataFrame, components: DataFrame, max_length: int = 64, task_arcs: int = 20_000) -> DataFrame:
+def simple_cycles(edges: DataFrame, components: DataFrame, max_length: int | None = None, task_arcs: int = 20_000) -> DataFrame:
     """``path, length``: simple cycles of two or more nodes, one per set of nodes (the smallest path), starting at the smallest id.
 
     Only arcs inside a component are followed, and only to ids above the start. Components of up to ``task_arcs`` arcs are searched
     each in one task, larger ones by joins. The number of cycles can grow exponentially with a component's size;
-    ``max_length`` bounds the length of those reported.
+    all of them are reported unless the caller bounds their length by ``max_length``.
     """
     c = components.groupBy("component").count().where("count > 1").join(components, "component").select("node_id", "component")
     arcs = edges.where("source <> target").select("source", "target").distinct()
@@ -294,12 +301,13 @@ def simple_cycles(edges: DataFrame, components: DataFrame, max_length: int = 64,
     arcs = materialize(arcs.join(large, "component", "left_semi").select("source", "target"), "arcs")
     paths = arcs.where("source < target").select(F.col("source").alias("start"), F.array("source", "target").alias("path"), F.col("target").alias("at"))
     by_joins = None
-    for length in range(2, max_length + 1):
+    for length in count(2) if max_length is None else range(2, max_length + 1):
         paths = materialize(paths, "paths")
         if not paths.take(1):
             break
         closed = paths.join(arcs.select(F.col("source").alias("at"), F.col("target").alias("start")), ["at", "start"]).select("path", F.lit(length).alias("length"))
-        by_joins = closed if by_joins is None else by_joins.unionByName(closed)
+        if by_joins is None or closed.take(1):
+            by_joins = closed if by_joins is None else by_joins.unionByName(closed)
         onward = arcs.select(F.col("source").alias("at"), F.col("target").alias("to"))
         paths = paths.join(onward, "at").where((F.col("to") > F.col("start")) & ~F.array_contains("path", F.col("to"))).select("start", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
     once = by_joins.groupBy(F.array_sort("path").alias("_set")).agg(F.min("path").alias("path"), F.first("length").alias("length")).select("path", "length")

@@ -86,8 +86,8 @@ def orphan_modules(graph: PropertyGraph, resolved: DataFrame | None = None) -> D
     return files.join(linked, "file_path", "left_anti").join(F.broadcast(many), F.col("many")).select("file_path")  # one row
 
 
-def circular_dependencies(arcs: DataFrame, max_length: int = 64) -> DataFrame:
-    """``path, length`` of the simple cycles of a graph ``source, target`` (files, say)."""
+def circular_dependencies(arcs: DataFrame, max_length: int | None = None) -> DataFrame:
+    """``path, length`` of the simple cycles of a graph ``source, target`` (files, say), of any length unless ``max_length`` bounds it."""
     ends = arcs.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
     return simple_cycles(arcs, strongly_connected_components(ends, arcs), max_length)
 

@@ -106,3 +106,9 @@ def test_queries_and_views(spark):
     text = views.graph_context(g, "file:a.py", "minimal")
     assert "Selected node:" in text and len(text) < 1_900 and views.context_profile("media")["nodes"] == 16 and views.context_profile("odd")["nodes"] == 8
     assert q.statistics(g).first().file_count == 2 and q.symbol_count(g) == 1 and q.symbol_count(g, "b.py") == 0 and ids(q.file_metadata(g, "b.py")) == ["file:b.py"]
+
+
+def test_long_cycles_are_found(spark):
+    ring = [(f"n{i:03d}", f"n{(i + 1) % 70:03d}") for i in range(70)]
+    rows = i.circular_dependencies(spark.createDataFrame(ring, "source string, target string")).collect()
+    assert [(r.path, r.length) for r in rows] == [([a for a, _ in ring], 70)]
