@@ -154,3 +154,10 @@ def test_shared_subtrees(spark):
     rows += [("r3/a/lib/x.py", HAND + "# changed\n", "three/r3"), ("r1/b/copy.py", HAND.replace("work", "play"), "one/r1"), ("r1/c/copy2.py", HAND.replace("work", "play"), "one/r1")]
     got = {r.path for r in handwritten.not_handwritten(records(spark, [r[0] for r in rows]), docs(spark, rows)).collect()}
     assert got == {"r2/a/lib/x.py", "r2/a/lib/sub/y.py"}  # the copy, not the original nor copies within one repository
+
+
+def test_short_remarks_are_kept_in_large_corpora(spark):
+    said = ["Not thread safe."] * 25 + ["重复调用时返回缓存结果。"] * 60 + [f"Reads the block of number {i} again." for i in range(600)]
+    text = "".join(f'def job{i}():\n    """{d}"""\n' for i, d in enumerate(said))
+    symbols = [("a.py", f"job{i}", "function", 2 * i + 1, f"job{i}", None, "t") for i in range(len(said))]
+    assert documented.function_pairs(spark.createDataFrame(symbols, SYMBOL), docs(spark, [("a.py", text, "o/r")])).count() == len(said)
