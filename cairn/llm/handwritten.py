@@ -69,9 +69,7 @@ def leading_comment(text: str) -> str:
             if closed >= 0 and line[closed + 2 :].strip():  # code follows on the line
                 lines[-1] = line[: closed + 2]
                 break
-            if len(lines) >= 400:
-                break
-        elif (doc := _PY_DOC.match(line + "\n" + rest[rest.find(line) + len(line) + 1 :][:4000])) and not any(not x.lstrip().startswith("#") for x in lines if x.strip()):
+        elif (doc := _PY_DOC.match(line + "\n" + rest[rest.find(line) + len(line) + 1 :])) and not any(not x.lstrip().startswith("#") for x in lines if x.strip()):
             lines.append(doc.group(2))
             break
         else:
@@ -132,7 +130,7 @@ def verdict(path: str, text: str | None) -> str | None:
         return "vendored"
     if _NAME_RELEASE.match(name):
         return "vendored"
-    if _NAME_BUNDLE.search(name) or _MAP.search(text[-400:]):
+    if _NAME_BUNDLE.search(name) or _MAP.search(text):
         return "minified"
     if _NAME_GENERATED.search(name) or any(d in GENERATED_DIRS for d in dirs[1:]):
         return "generated"

@@ -161,3 +161,13 @@ def test_short_remarks_are_kept_in_large_corpora(spark):
     text = "".join(f'def job{i}():\n    """{d}"""\n' for i, d in enumerate(said))
     symbols = [("a.py", f"job{i}", "function", 2 * i + 1, f"job{i}", None, "t") for i in range(len(said))]
     assert documented.function_pairs(spark.createDataFrame(symbols, SYMBOL), docs(spark, [("a.py", text, "o/r")])).count() == len(said)
+
+
+def test_long_headers_docstrings_and_source_maps_are_read_whole():
+    bundle = "function add(a, b) {\n  return a + b;\n}\n//# sourceMappingURL=data:application/json;base64," + "eyJ2" * 2000 + "\n"
+    assert handwritten.verdict("r/src/app.js", bundle) == "minified"
+    code = '\n\n\ndef add(a, b):\n    """Adds two numbers and returns the sum."""\n    return a + b\n'
+    prose = "Some words about the module and what it is for.\n" * 200
+    assert handwritten.verdict("r/src/a.py", '"""' + prose + 'Vendored from tool 1.2.\n"""' + code) == "vendored"
+    assert handwritten.verdict("r/src/b.py", "# some words about it\n" * 500 + "# Code generated by tool. DO NOT EDIT.\n" + code) == "generated"
+    assert handwritten.verdict("r/src/c.py", '"""' + prose + '"""' + code) is None
