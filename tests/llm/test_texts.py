@@ -98,7 +98,7 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs(spark, texts), given).collect()}
     assert got >= {(d, i) for d in range(1, 8) for i in (1, 2)}
     assert not {d for d, i in got if i in (1, 2)} & {20, 21, 22, 23, 25}
-    several = {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs(spark, texts), given, held_words=20).collect()}
+    several = {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs(spark, texts), given, sent_seeds=0).collect()}
     assert several == got
 
 
@@ -113,6 +113,52 @@ def test_leaks_with_single_words_changed_dropped_and_added(spark):
     assert {r.doc_id for r in leaks.find_leaks(docs(spark, texts), items).collect()} == {1, 2, 3, 4}
 
 
+def keep_half(rnd, words, damage):
+    """The words with ``damage`` applied again until at least half of them are left in order."""
+    while True:
+        left = [w for w in words if rnd.random() >= damage]
+        if 2 * len(left) >= len(words):
+            return left
+
+
+def changed(rnd, words, share):
+    while True:
+        out = [f"x{rnd.randrange(10**6)}" if rnd.random() < share else w for w in words]
+        if 2 * sum(a == b for a, b in zip(out, words)) >= len(words):
+            return out
+
+
+def added(rnd, words, share):
+    return [x for w in words for x in ([w, f"x{rnd.randrange(10**6)}"] if rnd.random() < share else [w])]
+
+
+DAMAGES = {
+    "30 % changed": lambda r, p: changed(r, p, 0.3), "35 % changed": lambda r, p: changed(r, p, 0.35), "40 % changed": lambda r, p: changed(r, p, 0.4), "45 % changed": lambda r, p: changed(r, p, 0.45),
+    "20 % dropped": lambda r, p: keep_half(r, p, 0.2), "30 % dropped": lambda r, p: keep_half(r, p, 0.3), "40 % dropped": lambda r, p: keep_half(r, p, 0.4),
+    "20 % added": lambda r, p: added(r, p, 0.2), "50 % added": lambda r, p: added(r, p, 0.5), "80 % added": lambda r, p: added(r, p, 0.8),
+    "20 % mixed": lambda r, p: added(r, changed(r, keep_half(r, p, 0.07), 0.07), 0.07), "30 % mixed": lambda r, p: added(r, changed(r, keep_half(r, p, 0.1), 0.1), 0.1),
+    "every second changed": lambda r, p: [f"x{i}" if i % 2 else w for i, w in enumerate(p)], "every second dropped": lambda r, p: p[::2],
+}
+
+
+@pytest.mark.parametrize("length", [60, 20])
+def test_recall_of_damaged_passages(spark, length):
+    rnd = random.Random(length)
+    texts, items, cases = [], [], {}
+    for name, damage in DAMAGES.items():
+        for _ in range(60):
+            n = len(items)
+            p = [rnd.choice(WORDS) for _ in range(length)]
+            items.append((n, " ".join(p)))
+            texts.append((n, hide(rnd, damage(rnd, p))))
+            cases[n] = name
+    found = leaks.find_leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, passage string")).collect()
+    hit = {r.doc_id for r in found if r.doc_id == r.item_id}
+    recall = {name: sum(n in hit for n, c in cases.items() if c == name) / 60 for name in DAMAGES}
+    print(length, recall, sum(r.doc_id != r.item_id for r in found))
+    assert min(recall.values()) >= 0.9, recall
+
+
 def test_a_frame_of_common_words_is_no_leak(spark):
     rnd = random.Random(6)
     frame = lambda names: " ".join(f"if {names()} is not none then return self check" for _ in range(8))
