@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cairn.llm import documented, handwritten, validity
@@ -165,9 +167,57 @@ def test_short_remarks_are_kept_in_large_corpora(spark):
 
 def test_long_headers_docstrings_and_source_maps_are_read_whole():
     bundle = "function add(a, b) {\n  return a + b;\n}\n//# sourceMappingURL=data:application/json;base64," + "eyJ2" * 2000 + "\n"
-    assert handwritten.verdict("r/src/app.js", bundle) == "minified"
+    assert handwritten.verdict("r/src/app.js", bundle)[0] == "minified"
     code = '\n\n\ndef add(a, b):\n    """Adds two numbers and returns the sum."""\n    return a + b\n'
     prose = "Some words about the module and what it is for.\n" * 200
-    assert handwritten.verdict("r/src/a.py", '"""' + prose + 'Vendored from tool 1.2.\n"""' + code) == "vendored"
-    assert handwritten.verdict("r/src/b.py", "# some words about it\n" * 500 + "# Code generated by tool. DO NOT EDIT.\n" + code) == "generated"
-    assert handwritten.verdict("r/src/c.py", '"""' + prose + '"""' + code) is None
+    assert handwritten.verdict("r/src/a.py", '"""' + prose + 'Vendored from tool 1.2.\n"""' + code)[0] == "vendored"
+    assert handwritten.verdict("r/src/b.py", "# some words about it\n" * 500 + "# Code generated by tool. DO NOT EDIT.\n" + code)[0] == "generated"
+    assert handwritten.verdict("r/src/c.py", '"""' + prose + '"""' + code)[0] is None
+
+
+def test_places_headers_and_white_space_are_weighed():
+    kind = lambda p, t: handwritten.verdict(p, t)[0]
+    plain = "def f():\n    return 1\n"
+    assert kind("r/deps/a.py", plain) is None and kind("r/external/a.py", plain) is None and kind("r/vendor/a.py", plain) is None
+    assert kind("r/vendor/pkg/a.py", plain) == "vendored" and kind("r/deps/a.py", "# Copyright the lib authors.\n" + plain) == "vendored"
+    assert handwritten.verdict("r/deps/pkg/a.py", plain) == (None, "pkg")
+    assert kind("r/a.py", "# This module used to be big.\n# Code generated by protoc. DO NOT EDIT.\n" + plain) == "generated"
+    assert kind("r/a.py", "# Used to be generated by protoc.\n# Do not edit without asking.\n" + plain) is None and kind("r/a.py", "# DO NOT EDIT\n" + plain) == "generated"
+    assert kind("r/a.py", "a = 1\nb = 2\nc = 3\n" + "\n" * 500) is None
+    assert kind("r/a.py", "# Do not modify: " + "as said above, " * 20 + "this is regenerated.\n" + plain) == "generated"
+
+
+def test_packages_in_loose_directories_need_another_owner(spark):
+    rows = [("r1/deps/pkg/a.py", HAND, "one/r1"), ("r2/vendor/pkg/b.py", HAND + "# b\n", "two/r2"), ("r1/deps/own/a.py", HAND + "# c\n", "one/r1"), ("r3/external/own/a.py", HAND + "# d\n", "one/r3")]
+    got = {r.path for r in handwritten.not_handwritten(records(spark, [r[0] for r in rows]), docs(spark, rows)).collect()}
+    assert got == {"r1/deps/pkg/a.py", "r2/vendor/pkg/b.py"}
+
+
+def test_merkle_hashes_over_trees_of_many_repositories(spark):
+    """Libraries in several versions copied at any depth into 40 repositories of 20 owners, some copies with one file changed or added."""
+    rnd = random.Random(8)
+    code = lambda n: "".join(HAND.replace("work", f"work_{n}_{k}") for k in range(3)) + "\n" * (n % 3)
+    libs = {(k, v): [(f"{d}m{i}.py", code(1000 * k + 10 * i + (v if i == 0 else 0))) for i in range(4) for d in ("" if i < 2 else "sub/",)] for k in range(5) for v in range(2)}
+    rows, copied = [], set()
+    for r in range(40):
+        repo, owner = f"r{r}", f"o{r % 20}"
+        rows += [(f"{repo}/src/own{i}.py", code(100_000 + 100 * r + i), f"{owner}/{repo}") for i in range(3)]
+        for key in rnd.sample(sorted(libs), 2):
+            at = f"{repo}/" + rnd.choice(["", "src/", "a/b/c/"]) + f"lib{key[0]}"
+            files = dict(libs[key])
+            if rnd.random() < 0.4:
+                files["m0.py"] = code(500_000 + r)  # a near copy: the rest is shared file by file and as the directory below
+            if rnd.random() < 0.4:
+                files["extra.py"] = code(600_000 + r)
+            for name, text in files.items():
+                rows.append((f"{at}/{name}", text, f"{owner}/{repo}"))
+                copied.add((f"{at}/{name}", text.strip(), owner))
+    owners, first = {}, {}
+    for path, text, owner in sorted(copied):
+        owners.setdefault(text, set()).add(owner)
+    for path, text, source in sorted(rows, key=lambda x: x[2]):
+        first.setdefault(text.strip(), source)
+    seen = {p: s for p, _, s in rows}
+    expected = {p for p, text, owner in copied if len(owners[text]) > 1 and seen[p] != first[text]}
+    got = {r.path for r in handwritten.not_handwritten(records(spark, [r[0] for r in rows]), docs(spark, rows)).collect()}
+    assert expected <= got and not any("/src/own" in p or "/extra.py" in p for p in got)
