@@ -38,7 +38,7 @@ Catch = Pattern ~T(':' Type)??~
 Expr = Assign (',' Assign)**
 Assign = Arrow | 'yield' (NONL '*'? Assign)? | Cond (AsgOp Assign)??
 AsgOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
-Cond = Binary ('?' Assign ':' Assign)?
+Cond = Binary ('?' Assign ':' Assign)??
 Binary = (Unary | PRIV) (BinOp Unary)** ~TTail~
 BinOp = '+' | '-' | '*' | '/' | '%' | '**' | '<' | '>' | ADJ ADJ?? '>' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '<<' | '&' | '|' | '^' | '&&' | '||' | '??' | 'in' | 'instanceof'
   ~T| ('as' | 'satisfies') ('const' | Type) BinOp~
@@ -89,7 +89,7 @@ CLOSE = '>' | ADJ
 TypeParam = ('const' | 'in' | 'out')* ID ('extends' Type)?? ('=' Type)??
 TypeArgs = '<' Type (',' Type)** CLOSE
 Ret = Type | 'asserts' (ID | 'this') ('is' Type)?? | (ID | 'this') 'is' Type
-Type = FnType | ('|' | '&')?? TypeOp (('|' | '&') TypeOp)** ('extends' Type '?' Type ':' Type)?
+Type = FnType | ('|' | '&')?? TypeOp (('|' | '&') TypeOp)** ('extends' Type '?' Type ':' Type)??
 FnType = 'abstract'?? 'new'?? TypeParams?? P[Params] '=>' Ret
 TypeOp = ('keyof' | 'readonly' | 'unique' | 'infer')* TypeAtom (NONL (B[TypeIndex]))**
 TypeAtom = (ID | 'void' | 'null' | 'this' | 'true' | 'false') ('.' IDN)** (NONL TypeArgs)? | STR | '-'?? NUM | TPL | 'typeof' (ID | 'this' | 'import' P[Args]) ('.' (IDN | PRIV))** TypeArgs?

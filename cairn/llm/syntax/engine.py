@@ -29,8 +29,9 @@ _DSL = re.compile(r"\s*('[^']+'|\w+\[[\w*]*\]|\w+|\*\*|\?\?|[()|?*+])")
 
 Run = Callable[[str, int], tuple]
 
-#: Long chains without brackets (else if, conditional expressions) nest Python calls, which take no C stack.
-RECURSION = 100_000
+#: Calls that one token may nest. Long chains without brackets (else if, conditional expressions) nest Python calls; their frames lie
+#: on the heap, so the limit follows the length of the text and is never reached.
+CALLS_PER_TOKEN = 64
 
 
 class Language:
@@ -307,11 +308,9 @@ class Language:
             return False
         kept, self.memo = self.memo, {}
         limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, RECURSION))
+        sys.setrecursionlimit(max(limit, 10_000 + CALLS_PER_TOKEN * len(s)))
         try:
             ends = self.rule(name)(s, 0)
-        except RecursionError:
-            ends = ()
         finally:
             self.memo = kept
             sys.setrecursionlimit(limit)

@@ -1,8 +1,8 @@
 """Source files that are no valid source of the language their name promises.
 
-A file is parsed with the grammar of its suffix. If that fails, its tokens rank the other languages, and the file is
-parsed with their grammars in that order: a success tells that the suffix is wrong, failures everywhere that the
-file is damaged.
+A file is parsed with the grammar of its suffix. If that fails, its tokens rank all other suffixes, those of the same family
+included, and the file is parsed with their grammars in that order: a success tells that the suffix is wrong, failures
+everywhere that the file is damaged.
 """
 
 from __future__ import annotations
@@ -25,16 +25,21 @@ LANGUAGE_OF = {
     "py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "rs": "rust",
 }
 _MARKS = re.compile(
-    r"\b(?:def|elif|self|None|import|from|package|func|fn|impl|let|mut|const|function|interface|type|export|return|require|pub|use|struct|var|class)\b|:=|=>|->|::|;$|:$|[{}]", re.M
+    r"\b(?:def|elif|self|None|import|from|package|func|fn|impl|let|mut|const|function|interface|type|export|return|require|pub|use|struct|var|class)\b|:=|=>|->|::|</|/>|;$|:$|[{}]", re.M
 )
 #: Words and signs that speak for a language, used only to order the attempts.
+_SCRIPT = {"const", "let", "function", "=>", ";", "{", "}", "return", "class", "var"}
+_TYPED = {"interface", "type"}
+_TAGS = {"</", "/>"}
 _SPEAKS = {
     "py": {"def", "elif", "self", "None", "import", "from", ":", "class", "->"},
-    "js": {"const", "let", "function", "=>", "export", "import", ";", "{", "}", "return", "require", "class", "var"},
-    "ts": {"const", "let", "interface", "type", "=>", "export", "import", ";", "{", "}", "function", "class"},
+    "js": _SCRIPT | {"export", "import"}, "jsx": _SCRIPT | {"export", "import"} | _TAGS, "cjs": _SCRIPT | {"require"},
+    "ts": _SCRIPT | {"export", "import"} | _TYPED, "tsx": _SCRIPT | {"export", "import"} | _TYPED | _TAGS,
     "go": {"package", "func", ":=", "import", "{", "}", "type", "struct", "var"},
     "rs": {"fn", "let", "mut", "pub", "use", "impl", "::", "->", ";", "{", "}", "struct"},
-}
+}
+#: The grammar of each suffix; of grammars that take a file the one with the fewest extensions names its language.
+_GRAMMAR = {"mjs": "js"}
 
 
 class Parsers:
@@ -69,19 +74,19 @@ def python_valid(text: str) -> bool:
 
 
 def ranked(text: str) -> list[str]:
-    """Suffixes in the order in which the tokens of a text speak for them."""
+    """Suffixes, one for each grammar, in the order in which the tokens of a text speak for them; of equals the one with fewer words."""
     counts: dict[str, int] = {}
     for mark in _MARKS.findall(text):
         counts[mark] = counts.get(mark, 0) + 1
-    return sorted(_SPEAKS, key=lambda s: -sum(counts.get(w, 0) for w in _SPEAKS[s]))
+    return sorted(_SPEAKS, key=lambda s: (-sum(counts.get(w, 0) for w in _SPEAKS[s]), len(_SPEAKS[s])))
 
 
 def diagnose(suffix: str, text: str, parsers: Parsers) -> tuple[bool, str | None]:
-    """Whether a text is valid, and if not, the suffix of the first language that takes it."""
+    """Whether a text is valid, and if not, the suffix of the first grammar that takes it."""
     if parsers.valid(suffix, text):
         return True, None
     for other in ranked(text):
-        if LANGUAGE_OF[other] != LANGUAGE_OF[suffix] and parsers.valid(other, text):
+        if other != _GRAMMAR.get(suffix, suffix) and parsers.valid(other, text):
             return False, other
     return False, None
 
@@ -101,10 +106,10 @@ def _check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def syntax_status(records: DataFrame, docs: DataFrame) -> DataFrame:
-    """``path, repo, language, valid, parses_as, fault`` of every code file of ``records`` that has a text.
+    """``path, repo, language, valid, parses_as, suffix_as, fault`` of every code file of ``records`` that has a text.
 
-    ``fault`` is ``wrong_suffix`` if another language's grammar takes the file (``parses_as`` names it), ``corrupt`` if none
-    does, null for valid files. Null, empty and blank texts and paths that are null or no code have no row; ``records`` may
+    ``fault`` is ``wrong_suffix`` if the grammar of another suffix takes the file (``parses_as`` is its language, ``suffix_as`` the suffix: JSX in a
+    ``.js`` file is ``jsx``, a script in an ``.mjs`` file ``cjs``), ``corrupt`` if none does, null for valid files. Null, empty and blank texts and paths that are null or no code have no row; ``records`` may
     repeat a path. Syntax is that of the running Python, of ECMAScript modules (``.cjs``: scripts), TypeScript, Go and Rust.
     """
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
@@ -113,7 +118,7 @@ def syntax_status(records: DataFrame, docs: DataFrame) -> DataFrame:
     checked = spread(rows).mapInPandas(_check, "path string, repo string, suffix string, valid boolean, parses_as string")
     language = F.create_map(*[F.lit(x) for kv in LANGUAGE_OF.items() for x in kv])
     fault = F.when(~F.col("valid"), F.when(F.col("parses_as").isNull(), "corrupt").otherwise("wrong_suffix"))
-    out = checked.select("path", "repo", language[F.col("suffix")].alias("language"), "valid", language[F.col("parses_as")].alias("parses_as"), fault.alias("fault"))
+    out = checked.select("path", "repo", language[F.col("suffix")].alias("language"), "valid", language[F.col("parses_as")].alias("parses_as"), F.col("parses_as").alias("suffix_as"), fault.alias("fault"))
     return materialize(out, "syntax").join(records.where("path is not null").select("path").distinct(), "path", "left_semi")
 
 

@@ -79,6 +79,22 @@ def test_deep_and_long():
     assert P.valid("go", "package a\n" + "var x = 1\n" * 20_000) and P.valid("rs", "fn f() {" + " a();" * 20_000 + "}")
 
 
+def test_chains_of_any_length():
+    n = 20_000
+    assert P.valid("js", "x = " + "a ? b : " * n + "c;") and not P.valid("js", "x = " + "a ? b : " * n + "c d;")
+    assert P.valid("js", "if (a) {\n} " + "else if (b) {\n} " * n) and P.valid("ts", "type A = " + "B extends C ? D : " * 5000 + "E;")
+    assert P.valid("rs", "fn f() { if a {} " + "else if b {} " * n + "}") and P.valid("go", "package a\nfunc f() { if a {} " + "else if b {} " * n + "}\n")
+    assert P.valid("js", "x = " + "!" * n + "c;") and P.valid("js", "a = " * n + "c;") and P.valid("js", "while (x) " * n + "c;")
+
+
+def test_suffixes_of_one_family_are_told_apart():
+    jsx = "import R from 'react';\nexport const A = () => { return <div className='x'>{a}</div>; };\n"
+    tsx = "import R from 'react';\ninterface P { a: string }\nexport const A = (p: P) => { return <div>{p.a}</div>; };\n"
+    script, module = "const x = require('y');\nwith (x) { a = 010; }\nmodule.exports = x;\n", "import a from 'b';\nexport default a;\n"
+    cases = [("js", jsx, "jsx"), ("ts", jsx, "jsx"), ("py", jsx, "jsx"), ("go", jsx, "jsx"), ("ts", tsx, "tsx"), ("mjs", script, "cjs"), ("cjs", module, "js"), ("js", "const x: number = 1;\n", "ts")]
+    assert [validity.diagnose(s, t, P) for s, t, _ in cases] == [(False, found) for _, _, found in cases]
+
+
 DOC = "path string, text string, source string, collected_at timestamp, suffix string, repo string, seen int, digest string, kind string"
 
 
