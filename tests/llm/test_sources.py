@@ -147,6 +147,16 @@ def test_templates_are_counted(spark):
     assert len(got) == 20 and all(p.startswith("g") for p in got)
 
 
+def test_functions_that_do_not_parse_and_attributes_of_several_lines(spark):
+    ts = "// Opens the gate.\n@Input({\n  a: [1],\n})\nfunction gate() {}\n\n// Breaks off.\nfunction off(a { return 1; }\n\n// Comes after it.\nfunction after() { return 2; }\n"
+    rs = "/// Counts all.\n#[cfg(any(\n    a,\n    b,\n))]\n#[inline]\nfn count() {}\n"
+    py = 'def ok():\n    """Says what it does."""\n    return 1\n\n\ndef broken():\n    """Says it too."""\n    return (\n\n\ndef last():\n    """Comes last of all."""\n'
+    rows = [("a.ts", ts, "o/r"), ("b.rs", rs, "o/r"), ("c.py", py, "o/r")]
+    lines = [("a.ts", "gate", 5), ("a.ts", "off", 8), ("a.ts", "after", 11), ("b.rs", "count", 7), ("c.py", "ok", 1), ("c.py", "broken", 6), ("c.py", "last", 11)]
+    symbols = spark.createDataFrame([(p, n, "function", line, n, None, "t") for p, n, line in lines], SYMBOL)
+    assert {r.qualified_name for r in documented.function_pairs(symbols, docs(spark, rows)).collect()} == {"gate", "after", "count", "ok", "last"}
+
+
 HAND = "import logging\nfrom a.b import c\n\n\ndef work(item, other):\n    for part in item:\n        other.append(part)\n    return other\n"
 
 
