@@ -57,6 +57,14 @@ def churn_rates(rows: DataFrame, snapshots: DataFrame, snapshot_from: int | None
     return sums.select("node_id", "changes", F.when(F.col("n") < 2, 0.0).otherwise(F.col("changes") / (F.col("n") - 1)).alias("rate"))
 
 
+#: The columns of a timeline's tables.
+EMPTY = {
+    "snapshots": "snapshot_id bigint, created_at double, label string, node_count bigint, edge_count bigint",
+    "nodes": ", ".join(f"{c} {t}" for c, t in schemas.NODE_COLUMNS.items()) + ", attrs_hash string, snapshot_id bigint",
+    "edges": ", ".join(f"{c} {t}" for c, t in schemas.EDGE_COLUMNS.items()) + ", snapshot_id bigint",
+}
+
+
 class Timeline:
     """Snapshots under a folder: ``snapshots``, ``nodes`` and ``edges``; ids count up from 1."""
 
@@ -101,13 +109,18 @@ class Timeline:
         at = F.col("snapshot_id") == snapshot_id
         return PropertyGraph(nodes.where(at).drop("snapshot_id", "attrs_hash"), schemas.edges(edges.where(at)) if edges is not None else PropertyGraph.empty(self.spark).edges)
 
+    def rows(self, name: str) -> DataFrame:
+        """``snapshots``, ``nodes`` or ``edges`` of all snapshots, without rows before the first one."""
+        found = self._read(name)
+        return found if found is not None else self.spark.createDataFrame([], EMPTY[name])
+
     def delta(self, snapshot_from: int, snapshot_to: int) -> tuple[DataFrame, DataFrame]:
-        return delta_nodes(self._read("nodes"), snapshot_from, snapshot_to), delta_edges(self._read("edges"), snapshot_from, snapshot_to)
+        return delta_nodes(self.rows("nodes"), snapshot_from, snapshot_to), delta_edges(self.rows("edges"), snapshot_from, snapshot_to)
 
     def history(self, node_id: str) -> DataFrame:
-        return node_history(self._read("nodes"), self.snapshots(), node_id)
+        return node_history(self.rows("nodes"), self.rows("snapshots"), node_id)
 
     def churn_rate(self, file_path: str, snapshot_from: int | None = None, snapshot_to: int | None = None) -> float:
-        rows = self._read("nodes").where(F.col("node_id") == "file:" + file_path)
-        got = churn_rates(rows, self.snapshots(), snapshot_from, snapshot_to).first()
+        rows = self.rows("nodes").where(F.col("node_id") == "file:" + file_path)
+        got = churn_rates(rows, self.rows("snapshots"), snapshot_from, snapshot_to).first()
         return 0.0 if got is None else got.rate

@@ -573,8 +573,10 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("due").alias("due"), "n")
 
 
-@query("""WITH p AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS f, CAST(length(props) AS BIGINT) AS l FROM events), m AS (SELECT *, max(f) OVER w AS mf, max(l) OVER w AS ml FROM p
-  WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT user_id, event_id FROM m WHERE f > mf OR l > ml""", plain=True)
+@query("""WITH RECURSIVE p AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS f, CAST(length(props) AS BIGINT) AS l, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  walk AS (SELECT user_id, event_id, f, l, n, false AS grew FROM p WHERE n = 1 UNION ALL SELECT p.user_id, p.event_id, CASE WHEN p.f > w.f OR p.l > w.l THEN p.f ELSE w.f END,
+    CASE WHEN p.f > w.f OR p.l > w.l THEN p.l ELSE w.l END, p.n, p.f > w.f OR p.l > w.l FROM walk w JOIN p ON p.user_id = w.user_id AND p.n = w.n + 1)
+  SELECT user_id, event_id FROM walk WHERE grew""", plain=True)
 def growth_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     polls = load(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").alias("file_count"), F.length("props").cast("bigint").alias("line_count"))
     return changes.growth_triggers(polls, "user_id", "event_id", chunk=1000).select("user_id", "event_id")

@@ -1,4 +1,5 @@
 import os
+import random
 
 from cairn import schemas
 from cairn.operators import build
@@ -32,7 +33,7 @@ def test_timeline(spark, tmp_path):
     store = GraphStore(t)
     assert store.summary()["data"]["node_count"] == 1 and store.get_node("zz")["status"] == "error" and store.get_changes(0, 1)["status"] == "error"
     assert GraphStore(t, 0.001)._answer(lambda g: g.nodes.crossJoin(spark.range(10**10)).selectExpr("sum(id) s"))["error"].startswith("timed out")
-    assert store.search_nodes("A.PY")["data"][0]["node_id"] == "file:a.py" and store.get_churn("a.py")["data"]["rate"] == 0.5 and len(store.get_timeline()["data"]) == 3
+    assert store.search_nodes("A.PY")["data"][0]["node_id"] == "file:a.py" and store.get_churn("a.py")["data"]["rate"] == 0.5 and store.get_timeline()["data"]["count"] == 3
     assert store.get_dead_code()["data"] == [] and store.get_circular_deps()["data"] == [] and store.get_entry_points()["data"] == [{"node_id": "file:a.py"}]
     assert store.get_god_nodes()["status"] == store.get_complexity()["status"] == store.query_graph(limit=5)["status"] == store.get_neighbors("file:a.py")["status"] == "ok"
 
@@ -137,14 +138,70 @@ def test_streams(spark, tmp_path):
     run = live.writeStream.format("memory").queryName("runs").outputMode("append").start()
     run.processAllAvailable()
     run.stop()
-    assert [r.n for r in spark.sql("select n from runs").collect()] in ([2], [])
+    assert [r.n for r in spark.sql("select n from runs").collect()] == [2]
     store, seen = Timeline(spark, str(tmp_path / "store")), []
     parse = lambda paths_: graph(spark, [(f"file:{r.path}", "file", r.path, 0) for r in paths_.collect()])
     for _ in range(2):  # the second run finds nothing new
-        job = changes.fold_changes(spark.readStream.schema(df.schema).parquet(src), store, parse, str(tmp_path / "cp"), lambda: 1.0, lambda d, n: seen.append(d.count()))
+        job = changes.fold_changes(spark.readStream.schema(df.schema).parquet(src), store, parse, str(tmp_path / "cp"), lambda: 1.0, lambda d, e, n: seen.append((d.count(), e.count())))
         job.processAllAvailable()
         job.stop()
     assert store.latest() == 1 and store.load().has_node("file:a.py") and seen == []
+    more = [("b.py", "created", "2024-01-01 00:02:00"), ("a.py", "modified", "2024-01-01 00:02:01"), ("notes.txt", "created", "2024-01-01 00:02:02")]
+    spark.createDataFrame(more, "path string, change string, ts string").selectExpr("path", "change", "cast(ts as timestamp) ts").write.mode("append").parquet(src)
+    here = lambda: spark.createDataFrame([("b.py",)], "path string")
+    job = changes.fold_changes(spark.readStream.schema(df.schema).parquet(src), store, parse, str(tmp_path / "cp"), lambda: 2.0, lambda d, e, n: seen.append(({tuple(r) for r in d.collect()}, e.count())), present=here)
+    job.processAllAvailable()
+    job.stop()
+    assert seen == [({("file:b.py", "added"), ("file:a.py", "removed")}, 0)] and store.latest() == 2  # a.py is gone by now
+    whole = Timeline(spark, str(tmp_path / "whole"))
+    job = changes.fold_changes(spark.readStream.schema(df.schema).parquet(src), whole, parse, str(tmp_path / "cp2"), lambda: 1.0, rebuild=lambda: graph(spark, [("file:z.py", "file", "z.py", 0)]))
+    job.processAllAvailable()
+    job.stop()
+    assert whole.latest() == 1 and whole.load().has_node("file:z.py")
     polls = spark.createDataFrame([("w", i, f, 1) for i, f in enumerate([2, 2, 3, 1, 3, 4])], "workspace string, poll int, file_count int, line_count int")
     assert sorted(r.poll for r in changes.growth_triggers(polls, chunk=2).collect()) == [2, 5]
     assert changes.envelope(polls.limit(1)).first().status == "ok"
+
+
+def test_growth_keeps_the_whole_pair(spark):
+    """The mark is the pair of the last growth, so a lower count makes later ones count as growth."""
+    schema = "workspace string, poll int, file_count int, line_count int"
+    few = spark.createDataFrame([("w", i, f, n) for i, (f, n) in enumerate([(2, 10), (3, 5), (3, 6), (3, 6)])] + [("v", 0, None, 1), (None, 1, 1, 1)], schema)
+    for chunk in (1, 2, 100):
+        assert sorted(r.poll for r in changes.growth_triggers(few, chunk=chunk).collect()) == [1, 2]
+    rnd = random.Random(5)
+    logs = {w: [(rnd.randrange(12), rnd.randrange(12)) for _ in range(60)] for w in ("a", "b", "c")}
+    expected = set()
+    for w, pairs in logs.items():
+        mark = pairs[0]
+        for i, p in enumerate(pairs[1:], 1):
+            if p[0] > mark[0] or p[1] > mark[1]:
+                expected.add((w, i))
+                mark = p
+    rows = spark.createDataFrame([(w, i, *p) for w, pairs in logs.items() for i, p in enumerate(pairs)], schema)
+    for chunk in (1, 7, 1000):
+        assert {(r.workspace, r.poll) for r in changes.growth_triggers(rows, chunk=chunk).collect()} == expected
+    assert changes.growth_triggers(rows.limit(0)).count() == 0
+
+
+def test_store_answers(spark, tmp_path):
+    t = Timeline(spark, str(tmp_path))
+    store = GraphStore(t)
+    assert store.summary()["data"]["empty"] and store.get_timeline("x")["data"]["node_history"] == [] and store.get_changes(1, 2)["data"]["added_nodes"] == []
+    assert store.get_churn("a.py")["data"]["rate"] == 0.0 and store.query_graph()["data"] == {"count": 0, "limit": 50, "nodes": [], "empty": True}
+    f = [(f"file:{x}.py", "file", f"{x}.py", 1) for x in "abc"]
+    t.record(graph(spark, f[:2], [("file:a.py", "file:b.py", "imports")]), "first", 1.0)
+    t.record(graph(spark, f[1:], [("file:b.py", "file:c.py", "imports"), ("file:c.py", "file:c.py", "calls")]), "second", 2.0)
+    d = store.get_changes(1, 2)["data"]
+    assert (d["added_nodes"], d["removed_nodes"], d["modified_nodes"]) == (["file:c.py"], ["file:a.py"], []) and d["removed_edges"] == [("file:a.py", "file:b.py")]
+    assert d["added_edges"] == [("file:b.py", "file:c.py"), ("file:c.py", "file:c.py")] and d["counts"]["added_edges"] == 2 and len(store.get_changes(1, 2, limit=1)["data"]["added_edges"]) == 1
+    n = store.get_neighbors("file:c.py")["data"]
+    assert [(x["node_id"], x["edge"]["edge_type"]) for x in n["incoming"]] == [("file:b.py", "imports"), ("file:c.py", "calls")] and n["incoming"][0]["node"]["file_path"] == "b.py"
+    assert [x["node_id"] for x in n["outgoing"]] == ["file:c.py"] and store.get_neighbors("file:c.py", "out")["data"]["incoming"] == []
+    g = store.get_graph(include_nodes=True, include_edges=True, limit=1)["data"]
+    assert (g["label"], g["latest_snapshot_id"], g["current"], g["node_count"], g["edge_count"]) == ("second", 2, True, 2, 2) and [x["node_id"] for x in g["nodes"]] == ["file:b.py"] and len(g["edges"]) == 1
+    h = store.get_timeline("file:a.py")["data"]
+    assert h["count"] == 2 and not h["empty"] and [(x["snapshot_id"], x["attrs"]["churn"]) for x in h["node_history"]] == [(1, 1)]
+    assert store.get_node("")["error"] == "node_id is required" and store.get_node("zz")["error"] == "no node zz" and store.get_neighbors("zz")["error"] == "no node zz" and store.get_neighbors("file:c.py", "up")["status"] == "error"
+    page = store.get_churn(limit=1)
+    assert page["more"] and len(page["data"]) == 1 and store.get_entry_points(limit=1, offset=1)["data"] == [] and store.get_complexity(limit=0)["status"] == "error"
