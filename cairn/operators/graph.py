@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import schemas
-from cairn.session import materialize
+from cairn.session import discard, materialize
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -133,6 +133,7 @@ class PropertyGraph:
 
 def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
     """Smallest label that reaches each node along the arcs, by doubling steps until nothing changes."""
+    given = labels
     while True:
         sent = arcs.join(labels.withColumnRenamed("node_id", "source"), "source").select(F.col("target").alias("node_id"), "label")
         best = sent.unionByName(labels).groupBy("node_id").agg(F.min("label").alias("label"))
@@ -140,6 +141,8 @@ def _spread(labels: DataFrame, arcs: DataFrame) -> DataFrame:
         own = best.select(F.col("node_id").alias("label"), F.col("label").alias("next"))
         new = materialize(best.join(own, "label", "left").select("node_id", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         changed = new.join(labels.withColumnRenamed("label", "old"), "node_id").where("label <> old").take(1)
+        if labels is not given:
+            discard(labels)
         labels = new
         if not changed:
             return labels

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,43 +34,62 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made, and set for later calls.
+    Only where that is unset and the session is local (tests on one machine) a temporary folder is made, and set for later
+    calls; on a cluster each executor would write to its own disk, so there it is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.cairn.local.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         conf = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.cairn.local.dir", conf)
     return conf
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def _remove(paths: list[str]) -> None:
+    for path in paths:
+        spark = _written.pop(path, None)
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # the session is gone, and its folder with it
             pass
-    _written.clear()
 
 
-atexit.register(_remove_written)
+atexit.register(lambda: _remove(list(_written)))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    This cuts the lineage with a compressed table that survives the loss of executors. The tables of a
-    process are removed when it ends.
+    This cuts the lineage with a compressed table that survives the loss of executors. Tables are removed by ``discard``, at the end
+    of a ``scratch`` block, or when the process ends.
     """
     spark = df.sparkSession
     path = os.path.join(work_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    _written.append((spark, path))
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` returned and nothing reads any more; others are left alone."""
+    _remove([t._cairn_path for t in tables if getattr(t, "_cairn_path", None) in _written])
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end all tables that were materialized inside: use results within the block, or write them there."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        _remove([p for p in _written if p not in before])
 
 
 def spread(df: DataFrame) -> DataFrame:
