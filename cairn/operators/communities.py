@@ -1,18 +1,32 @@
-"""Communities of an undirected graph by Leiden's method, and labels that scale by propagation."""
+"""Communities of an undirected graph by Leiden's method.
+
+Modularity is raised by moving nodes between communities; communities are split into connected parts, the parts become the nodes
+of a smaller graph, and so on until nothing moves. Levels whose components fit a task are solved there, component by component;
+levels above that move by joins, half of the nodes at a time. Both take the same steps by the same gain.
+"""
 
 from __future__ import annotations
 
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import materialize
+from cairn.operators import intelligence
+from cairn.operators.graph import PropertyGraph
+
+from cairn.session import discard, materialize
+
+#: The least rise of modularity for which another round of moves by joins is made.
+LEAST_RISE = 1e-4
+
 
+def _leiden(n: int, edges: list[tuple[int, int, float]], gamma: float, seed: int, total: float, weights: list[float] | None = None) -> list[int]:
+    """Community numbers: local moving, refinement into well-connected parts, aggregation, until nothing moves.
 
-def _leiden(n: int, edges: list[tuple[int, int, float]], gamma: float, seed: int) -> list[int]:
-    """Community numbers: local moving, refinement into well-connected parts, aggregation, until nothing moves."""
+    ``total`` is the weight of all edges of the whole graph, ``weights`` what lies inside each node of an aggregated one.
+    """
     rng = random.Random(seed)
     members = [[i] for i in range(n)]
     label_of = list(range(n))
@@ -21,9 +35,8 @@ def _leiden(n: int, edges: list[tuple[int, int, float]], gamma: float, seed: int
         if a != b:
             adjacency[a][b] = adjacency[a].get(b, 0.0) + w
             adjacency[b][a] = adjacency[b].get(a, 0.0) + w
-    loops = [0.0] * n
+    loops = list(weights) if weights else [0.0] * n
     start = list(range(n))
-    total = sum(sum(x.values()) for x in adjacency) / 2 or 1.0
 
     def move(adj: list[dict[int, float]], degree: list[float], community: list[int], allowed: list[int] | None) -> bool:
         weight = {}
@@ -97,49 +110,157 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _spread(nodes.select("node_id", F.col("node_id").alias("label")).distinct(), materialize(both, "arcs")).withColumnRenamed("label", "component")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, seed: int = 42, group_edges: int = 2_000_000) -> DataFrame:
-    """``node_id, community_id``: a number per community; every node is in one, a node without edges alone in its own.
+def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> float:
+    """The modularity of ``labels`` (``node_id, community_id``) over the simple undirected graph of ``edges``; 0 without edges."""
+    arcs = _arcs(edges)
+    both = arcs.unionByName(arcs.select(F.col("target").alias("source"), F.col("source").alias("target"), "w"))
+    return _modularity(both, labels.select("node_id", F.col("community_id").alias("label")), None, gamma)
+
+
+def _arcs(edges: DataFrame) -> DataFrame:
+    """Each undirected edge once, without loops."""
+    return edges.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct().withColumn("w", F.lit(1.0))
+
+
+def _modularity(both: DataFrame, labels: DataFrame, inside: DataFrame | None, gamma: float) -> float:
+    """``both`` has every edge in both directions, ``inside`` (``node_id, loop``) the weight inside each node of an aggregated graph."""
+    a, b = labels.select(F.col("node_id").alias("source"), F.col("label").alias("la")), labels.select(F.col("node_id").alias("target"), F.col("label").alias("lb"))
+    ends = both.join(a, "source").join(b, "target").select(F.col("la").alias("label"), "w", F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0).alias("within"))
+    if inside is not None:
+        own = inside.where("loop > 0").join(labels, "node_id").select("label", (2 * F.col("loop")).alias("w"), (2 * F.col("loop")).alias("within"))
+        ends = ends.unionByName(own)
+    each = ends.groupBy("label").agg(F.sum("w").alias("k"), F.sum("within").alias("within"))
+    got = each.agg(F.sum("k").alias("m2"), F.sum("within").alias("within"), F.sum(F.col("k") * F.col("k")).alias("squares")).first()
+    return got.within / got.m2 - gamma * got.squares / got.m2**2 if got.m2 else 0.0
+
+
+def _moved(both: DataFrame, nodes: DataFrame, gamma: float, total: float, seed: int) -> DataFrame:
+    """``node_id, label`` after rounds of moves by joins, each of half of the nodes, until modularity hardly rises; the best round's labels.
 
-    Connected components never share a community, so each is solved by itself, all in parallel. Components of more than
-    ``group_edges`` edges don't fit one task: there labels are propagated instead (``propagate``).
+    ``nodes`` has ``node_id, k`` (weight of all ends) and ``loop`` (weight inside).
     """
-    arcs = edges.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
-    parts = materialize(components(nodes, arcs), "components")
-    owned = arcs.join(parts.withColumnRenamed("node_id", "source"), "source")
-    sizes = owned.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    total = owned.agg(F.count(F.lit(1)).alias("total"))
-    sized = owned.join(sizes, "component").join(F.broadcast(total))  # one row
+    labels = best = nodes.select("node_id", F.col("node_id").alias("label"))
+    top, idle, turn = _modularity(both, labels, nodes, gamma), 0, 0
+    while idle < 2:  # two rounds, so that both halves had their turn
+        turn += 1
+        mine = nodes.join(labels, "node_id").select("node_id", "k", F.col("label").alias("own"))
+        sums = mine.groupBy(F.col("own").alias("label")).agg(F.sum("k").alias("sum"))
+        near = both.join(labels.withColumnRenamed("node_id", "target"), "target").groupBy(F.col("source").alias("node_id"), "label").agg(F.sum("w").alias("w"))
+        stay = mine.select("node_id", F.col("own").alias("label"), F.lit(0.0).alias("w"))
+        to = near.unionByName(stay).groupBy("node_id", "label").agg(F.sum("w").alias("w")).join(sums, "label").join(mine, "node_id")
+        rest = F.col("sum") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - gamma * F.col("k") * rest / (2 * total), 9)
+        choice = to.groupBy("node_id").agg(
+            F.min(F.struct((-gain).alias("loss"), "label")).alias("b"), F.max(F.when(F.col("label") == F.col("own"), gain)).alias("stays"), F.first("own").alias("own")
+        )
+        goes = (-F.col("b.loss") > F.col("stays")) & (F.pmod(F.xxhash64("node_id", F.lit(seed + turn // 2)), F.lit(2)) == turn % 2)
+        new = materialize(choice.select("node_id", F.when(goes, F.col("b.label")).otherwise(F.col("own")).alias("label")), "moves")
+        got = _modularity(both, new, nodes, gamma)
+        if labels is not best:
+            discard(labels)
+        labels = new
+        if got > top:
+            idle = 0 if got > top + LEAST_RISE else idle + 1
+            discard(best)
+            top, best = got, new
+        else:
+            idle += 1
+    return best
+
 
+def _solve(gamma: float, seed: int, total: float):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(pdf["source"]) | set(pdf["target"]))
+        """One component: rows with a ``target`` are edges, those without one tell what lies inside a node."""
+        ids = sorted(set(pdf["source"]))
         at = {x: i for i, x in enumerate(ids)}
-        # the resolution is relative to the whole graph's weight
-        scale = gamma * len(pdf) / float(pdf["total"].iloc[0])
-        labels = _leiden(len(ids), [(at[a], at[b], 1.0) for a, b in sorted(zip(pdf["source"], pdf["target"]))], scale, seed)
+        inside = [0.0] * len(ids)
+        edges = []
+        for a, b, w in sorted(zip(pdf["source"], pdf["target"].fillna(""), pdf["w"])):
+            if b:
+                edges.append((at[a], at[b], w))
+            else:
+                inside[at[a]] = w
+        labels = _leiden(len(ids), edges, gamma, seed, total, inside)
         first: dict[int, str] = {}
         for x, c in zip(ids, labels):
             first.setdefault(c, x)
         return pd.DataFrame({"node_id": ids, "label": [first[c] for c in labels]})
 
-    small = sized.where(F.col("n") <= group_edges).groupBy("component").applyInPandas(solve, "node_id string, label string")
-    large = propagate(sized.where(F.col("n") > group_edges).select("source", "target")) if sizes.where(F.col("n") > group_edges).take(1) else None
-    found = small if large is None else small.unionByName(large)
-    labelled = materialize(nodes.select("node_id").distinct().join(found, "node_id", "left").select("node_id", F.coalesce("label", "node_id").alias("label")), "labels")
-    # numbers that don't depend on the partitioning: rank of the label, computed range by range
-    names = labelled.select("label").distinct().orderBy("label")
-    numbered = names.rdd.map(lambda r: r[0]).zipWithIndex().toDF("label string, community_id bigint")
+    return solve
+
+
+def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, seed: int = 42, group_edges: int = 2_000_000) -> DataFrame:
+    """``node_id, community_id``: a number per community; every node is in one, a node without edges alone in its own.
+
+    Connected components never share a community, so each is solved by itself, all in parallel. A component of more than ``group_edges``
+    edges goes through levels of moves by joins until what is left of it fits a task, or nothing moves any more. ``modularity`` tells how
+    good a result is; gains are relative to the whole graph's weight.
+    """
+    arcs = materialize(_arcs(edges), "arcs")
+    total = float(arcs.count()) or 1.0
+    parts = materialize(components(nodes, arcs), "components")
+    both = materialize(arcs.unionByName(arcs.select(F.col("target").alias("source"), F.col("source").alias("target"), "w")), "both")
+    inside = both.groupBy(F.col("source").alias("node_id")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0))
+    names = parts.select("node_id", F.col("node_id").alias("at"))  # where each node of the graph lies now
+    done: list[DataFrame] = []  # label of what a node lies in, per level
+    while True:
+        owned = both.join(parts.withColumnRenamed("node_id", "source"), "source")
+        sizes = materialize(owned.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        large = sizes.where(F.col("n") > 2 * group_edges).select("component")
+        small = sizes.where(F.col("n") <= 2 * group_edges).select("component")
+        rows = owned.join(small, "component").where("source < target").select("component", "source", "target", "w")
+        loops = inside.join(parts, "node_id").join(small, "component").select("component", F.col("node_id").alias("source"), F.lit(None).cast("string").alias("target"), F.col("loop").alias("w"))
+        done.append(materialize(rows.unionByName(loops).groupBy("component").applyInPandas(_solve(gamma, seed, total), "node_id string, label string"), "solved"))
+        if not large.take(1):
+            break
+        held = materialize(owned.join(large, "component").select("component", "source", "target", "w"), "large")
+        nodes_in = materialize(inside.join(parts.join(large, "component"), "node_id"), "inside")
+        labels = _moved(held.select("source", "target", "w"), nodes_in.select("node_id", "k", "loop"), gamma, total, seed)
+        a, b = labels.select(F.col("node_id").alias("source"), F.col("label").alias("la")), labels.select(F.col("node_id").alias("target"), F.col("label").alias("lb"))
+        met = held.join(a, "source").join(b, "target")
+        apart = components(labels.select("node_id"), met.where("la = lb").select("source", "target")).withColumnRenamed("component", "label")  # connected parts
+        apart = materialize(apart, "parts")
+        if apart.where("node_id <> label").take(1) == []:
+            done.append(apart)  # nothing moves: each node is a community
+            break
+        step = apart.withColumnRenamed("node_id", "at").withColumnRenamed("label", "to")
+        names = materialize(names.join(step, "at", "left").select("node_id", F.coalesce("to", "at").alias("at")), "names")
+        a, b = apart.select(F.col("node_id").alias("source"), F.col("label").alias("la")), apart.select(F.col("node_id").alias("target"), F.col("label").alias("lb"))
+        met = materialize(held.join(a, "source").join(b, "target").groupBy("la", "lb").agg(F.sum("w").alias("w")), "met")
+        both = met.where("la <> lb").select(F.col("la").alias("source"), F.col("lb").alias("target"), "w")
+        own = met.where("la = lb").select(F.col("la").alias("label"), (F.col("w") / 2).alias("new"))
+        inside = nodes_in.join(apart, "node_id").groupBy("label").agg(F.sum("k").alias("k"), F.sum("loop").alias("loop"))
+        inside = materialize(inside.join(own, "label", "left").select(F.col("label").alias("node_id"), "k", (F.col("loop") + F.coalesce("new", F.lit(0.0))).alias("loop")), "inside")
+        parts = materialize(nodes_in.join(apart, "node_id").select(F.col("label").alias("node_id"), "component").distinct(), "components")
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    found = found.withColumnRenamed("node_id", "at")
+    labelled = materialize(names.join(found, "at", "left").select("node_id", F.coalesce("label", "at").alias("label")), "labels")
+    # numbers by rank of the label: ranges of labels are numbered by themselves, behind all labels of the ranges before
+    ranged = labelled.select("label").distinct().repartitionByRange("label").sortWithinPartitions("label")
+    ranged = materialize(ranged.select("label", F.monotonically_increasing_id().alias("m")), "ranks")
+    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = ranged.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    numbered = ranged.withColumn("part", part).join(starts, "part").select("label", (F.col("start") + place).alias("community_id"))
     return labelled.join(numbered, "label").select("node_id", F.col("community_id").cast("int").alias("community_id"))
 
 
-def propagate(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``node_id, label``: each node takes the most frequent label around it (the smallest of equals), until few change."""
-    both = materialize(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))), "arcs")
-    labels = both.select(F.col("source").alias("node_id")).distinct().withColumn("label", F.col("node_id"))
-    for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("node_id", "source"), "source").groupBy(F.col("target").alias("node_id"), "label").agg(F.count(F.lit(1)).alias("n"))
-        best = seen.groupBy("node_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("node_id", F.col("b.label").alias("label"))
-        best = materialize(best, "labels")
-        if not best.join(labels.withColumnRenamed("label", "old"), "node_id").where("label <> old").take(1):
-            return best
-        labels = best
-    return labels
+def clustering_graph(graph: PropertyGraph, resolved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``node_id`` of what is clustered, and its links ``source, target``: files and the imports and calls between them; without files symbols, without links."""
+    kind = lambda t: graph.nodes.where(F.col("node_type") == t).select("node_id").distinct()
+    files = kind("file")
+    if not files.take(1):
+        return kind("symbol"), graph.edges.select("source", "target").limit(0)
+    paths = graph.nodes.where("node_type = 'file'").groupBy("file_path").agg(F.min("node_id").alias("id"))
+    links = intelligence.file_links(graph, resolved)
+    a, b = paths.select(F.col("file_path").alias("source"), F.col("id").alias("a")), paths.select(F.col("file_path").alias("target"), F.col("id").alias("b"))
+    return files, links.join(a, "source").join(b, "target").select(F.col("a").alias("source"), F.col("b").alias("target"))
+
+
+def annotate(graph: PropertyGraph, resolved: DataFrame | None = None, gamma: float = 1.0, seed: int = 42) -> PropertyGraph:
+    """The graph with the ``community_id`` of each node, its own or its file's, and ``is_bridge``."""
+    nodes, links = clustering_graph(graph, resolved)
+    found = materialize(communities(nodes, links, gamma, seed), "communities")
+    return intelligence.annotate(graph, found, intelligence.bridge_nodes(links, found))

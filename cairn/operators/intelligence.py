@@ -60,13 +60,17 @@ def file_import_graph(graph: PropertyGraph, resolved: DataFrame | None = None) -
     return found.select(F.col("from_path").alias("source"), F.col("to_path").alias("target")).distinct()
 
 
-def file_dependency_graph(graph: PropertyGraph, resolved: DataFrame | None = None) -> DataFrame:
-    """``source, target`` paths, smaller first: imports and calls between different files, without direction."""
+def file_links(graph: PropertyGraph, resolved: DataFrame | None = None) -> DataFrame:
+    """``source, target`` paths: imports and calls between different files, each pair at most once per kind."""
     where = graph.nodes.where("file_path is not null").select("node_id", "file_path")
     calls = graph.edges.where("edge_type = 'calls'").select("source", "target")
     calls = calls.join(where.select(F.col("node_id").alias("source"), F.col("file_path").alias("a")), "source").join(where.select(F.col("node_id").alias("target"), F.col("file_path").alias("b")), "target")
-    both = file_import_graph(graph, resolved).select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(calls.where("a <> b").select("a", "b"))
-    return both.select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).distinct()
+    return file_import_graph(graph, resolved).unionByName(calls.where("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target")))
+
+
+def file_dependency_graph(graph: PropertyGraph, resolved: DataFrame | None = None) -> DataFrame:
+    """``source, target`` paths, smaller first: imports and calls between different files, without direction."""
+    return file_links(graph, resolved).select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
 
 
 def entry_points(graph: PropertyGraph, resolved: DataFrame | None = None) -> DataFrame:
