@@ -41,6 +41,71 @@ def parent_links(rows: DataFrame, child: str = "class_name", parent: str = "base
     return named.unionByName(undeclared)
 
 
+#: Names in the lists that a task holds before it passes them on.
+HELD_NAMES = 500_000
+
+
+class _Fragment:
+    """The rows of one partition: links, and rings that lie here as a whole. Lists are only made when a row is passed on."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.up = {n: (p, list(v)) for n, p, v in zip(rows["node"], rows["parent"], rows["via"])}
+        #: Of a node on a ring: the ring in the order of its links, each node's place in it, and this node's place.
+        self.ring: dict[str, tuple[list[str], dict[str, int], int]] = {}
+        for n, c in zip(rows["node"], rows["in_cycle"]):
+            if c:
+                self._close(self.up[n][1], [n])
+        self._find_rings()
+
+    def _close(self, full: list[str], members: list[str]) -> None:
+        at = {m: i for i, m in enumerate(full)}
+        for m in members:
+            self.ring[m] = full, at, at[m]
+
+    def _find_rings(self) -> None:
+        up, seen = self.up, set()
+        for start in up:
+            trail: list[str] = []
+            at: dict[str, int] = {}
+            n = start
+            while n in up and n not in seen and n not in at and n not in self.ring and up[n][0] is not None:
+                at[n] = len(trail)
+                trail.append(n)
+                n = up[n][0]
+            if n in at:
+                members, trail = trail[at[n] :], trail[: at[n]]
+                self._close([x for m in members for x in (m, *up[m][1])], members)
+                seen.update(members)
+            while trail:
+                m = trail.pop()
+                seen.add(m)
+                held = self.ring.get(up[m][0])
+                if held and m in held[1]:  # on the ring, though an edge that was contracted passes over it
+                    self.ring[m] = held[0], held[1], held[1][m]
+
+    def _round(self, n: str) -> list[str]:
+        """Once round the ring from the node after ``n`` to ``n``."""
+        full, _, i = self.ring[n]
+        return full[i + 1 :] + full[: i + 1]
+
+    def row(self, n: str) -> tuple[str, str | None, list[str], bool]:
+        """``node, parent, via, in_cycle``: the way to the first node another partition holds, or to the end."""
+        if n in self.ring:
+            return n, None, self._round(n), True
+        out: list[str] = []
+        at = n
+        while True:
+            parent, via = self.up[at]
+            out += via
+            if parent not in self.up:
+                return n, parent, out, False
+            out.append(parent)
+            if parent in self.ring:  # what was contracted on the way may lie on the ring too
+                passed = set(via)
+                return n, None, out + [a for a in self._round(parent)[:-1] if a not in passed], False
+            at = parent
+
+
 def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Follow the chains inside one partition to the first node another partition holds, or to their end.
 
@@ -49,49 +114,15 @@ def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     frames = list(parts)
     if not frames:
         return
-    rows = pd.concat(frames, ignore_index=True)
-    up = {n: (p, list(v), bool(c)) for n, p, v, c in zip(rows["node"], rows["parent"], rows["via"], rows["in_cycle"])}
-    done: dict[str, tuple[str | None, list[str], bool]] = {}
-    for start in up:
-        trail: list[str] = []
-        at: dict[str, int] = {}
-        n = start
-        while n in up and n not in done and n not in at and up[n][0] is not None:
-            at[n] = len(trail)
-            trail.append(n)
-            n = up[n][0]
-        if n in at:  # a cycle that lies here as a whole
-            ring, trail = trail[at[n] :], trail[: at[n]]
-            full: list[str] = []
-            where = {}
-            for m in ring:
-                where[m] = len(full)
-                full += [m, *up[m][1]]
-            for m in ring:
-                done[m] = (None, full[where[m] + 1 :] + full[: where[m] + 1], True)
-        elif n in up and n not in done:
-            done[n] = up[n]
-        while trail:
-            m = trail.pop()
-            parent, via, _ = up[m]
-            if parent not in up:
-                done[m] = (parent, via, False)
-            else:
-                exit_, rest, ring_ = done[parent]
-                if ring_ and m in rest:  # on the ring, though an edge that was contracted passes over it
-                    at_m = rest.index(m) + 1
-                    done[m] = (None, rest[at_m:] + rest[:at_m], True)
-                    continue
-                if ring_:  # what was contracted on the way may lie on the ring too
-                    rest = [a for a in rest[:-1] if a not in via]
-                done[m] = (exit_, [*via, parent, *rest], False)
-    items = list(done.items())
-    for i in range(0, len(items), 10_000):
-        part = items[i : i + 10_000]
-        yield pd.DataFrame({
-            "node": [k for k, _ in part], "parent": [v[0] for _, v in part],
-            "via": [v[1] for _, v in part], "in_cycle": [v[2] for _, v in part],
-        })
+    fragment = _Fragment(pd.concat(frames, ignore_index=True))
+    columns, out, held = ["node", "parent", "via", "in_cycle"], [], 0
+    for n in fragment.up:
+        out.append(fragment.row(n))
+        held += len(out[-1][2]) + 1
+        if held >= HELD_NAMES:
+            yield pd.DataFrame(out, columns=columns)
+            out, held = [], 0
+    yield pd.DataFrame(out, columns=columns)
 
 
 def _fragments(edges: DataFrame, parts: int, level: int, partition_rows: int) -> DataFrame:

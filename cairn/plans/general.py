@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.operators import hierarchy, snapshots
 from cairn.session import load
@@ -13,7 +14,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.hierarchy(hierarchy.parent_links(load(spark, sf_dir, "parsed_inheritance")))
+    rows = hierarchy.hierarchy(hierarchy.parent_links(load(spark, sf_dir, "parsed_inheritance")))
+    return rows.withColumn("path", F.array_join("path", " > "))
 
 
 def p2_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,16 @@ runs AS (SELECT node_id, pos AS pos_from, coalesce(next - 1, (SELECT max(pos) FR
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _LINKS + "SELECT DISTINCT least(node, other) AS class_a, greatest(node, other) AS class_b FROM reach",
+        "p2_hierarchy": _LINKS
+        + """, walk(node, above, last_) AS (
+               SELECT node, [parent], parent FROM links WHERE parent IS NOT NULL
+               UNION ALL SELECT w.node, list_append(w.above, l.parent), l.parent FROM walk w JOIN links l ON l.node = w.last_
+               WHERE l.parent IS NOT NULL AND NOT list_contains(w.above, l.parent)),
+             whole AS (SELECT l.node, coalesce(arg_max(above, len(above)), []) AS above FROM links l LEFT JOIN walk w ON w.node = l.node GROUP BY l.node),
+             ended AS (SELECT w.node, w.above, list_contains(w.above, w.node) AS in_cycle, coalesce(w.above[-1], w.node) AS top, l.parent IS NOT NULL AS round_
+               FROM whole w JOIN links l ON l.node = coalesce(w.above[-1], w.node))
+             SELECT node, array_to_string(CASE WHEN in_cycle THEN list_reverse(above) ELSE list_append(list_reverse(above), node) END, ' > ') AS path,
+               CASE WHEN NOT round_ THEN len(above) END AS depth, CASE WHEN NOT round_ THEN top END AS root, in_cycle, round_ AND NOT in_cycle AS below_cycle FROM ended""",
         "p2_cycles": _LINKS + "SELECT node FROM reach WHERE node = other",
         "p3_found": _SETTLED
         + """SELECT node_id, a.snapshot_id AS snapshot_from, b.snapshot_id AS snapshot_to
