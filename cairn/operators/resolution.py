@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
+from cairn.operators.graph import PropertyGraph
 
 
 def module_index(files: DataFrame) -> DataFrame:
@@ -104,6 +105,14 @@ def broken_proxies(removed: DataFrame, consumes: DataFrame, nodes: DataFrame) ->
     return nodes.where("node_type = 'proxy'").select("node_id").join(ids, "node_id", "left_semi")
 
 
+def flag_broken(graph: PropertyGraph, removed: DataFrame, consumes: DataFrame) -> PropertyGraph:
+    """The graph with ``is_broken`` set on the proxies of names that vanished."""
+    broken = broken_proxies(removed, consumes, graph.nodes).withColumn("_broken", F.lit(True))
+    old = F.col("is_broken") if "is_broken" in graph.nodes.columns else F.lit(None).cast("boolean")
+    nodes = graph.nodes.join(broken, "node_id", "left").withColumn("is_broken", F.coalesce("_broken", old)).drop("_broken")
+    return PropertyGraph(nodes, graph.edges)
+
+
 def registry_import_graph(provides: DataFrame, consumes: DataFrame) -> DataFrame:
     """``source, target``: consumer file to the file that provides the name."""
     owner = providers(provides).withColumnRenamed("file_path", "target")

@@ -54,11 +54,12 @@ def collapsed_weights(graph: PropertyGraph) -> DataFrame:
 
 
 def view_filters(graph: PropertyGraph) -> DataFrame:
-    """``node_id`` and whether it is a god, fragile, tech-debt or root node by its share of the maxima."""
-    m = queries.node_metrics(graph)
+    """``node_id`` and whether it is a god, fragile, tech-debt or root node by its share of the maxima, or a bridge (null without communities)."""
+    bridge = F.coalesce("is_bridge", F.lit(False)) if "is_bridge" in graph.nodes.columns else F.lit(None).cast("boolean")
+    m = queries.node_metrics(graph).join(graph.nodes.select("node_id", bridge.alias("bridge")), "node_id")
     many = lambda c, t: (F.col(c) > 0) & ((F.col(c) >= 0.5 * F.col(f"max_{c}")) | (F.col(c) > t))
     debt = (F.col("churn") > 0) & (F.col("churn") >= 0.3 * F.col("max_churn")) & (F.col("complexity") >= 0.3 * F.col("max_complexity"))
-    return m.select("node_id", many("in_degree", 8).alias("god"), many("out_degree", 8).alias("fragile"), debt.alias("tech_debt"), (F.col("in_degree") == 0).alias("root"))
+    return m.select("node_id", many("in_degree", 8).alias("god"), many("out_degree", 8).alias("fragile"), debt.alias("tech_debt"), (F.col("in_degree") == 0).alias("root"), "bridge")
 
 
 def priority_sample(graph: PropertyGraph, limit: int = 2500) -> DataFrame:
@@ -67,6 +68,25 @@ def priority_sample(graph: PropertyGraph, limit: int = 2500) -> DataFrame:
     return graph.nodes.where(F.coalesce("node_type", F.lit("")) != "external").orderBy(rank, "node_id").limit(limit).select("node_id", "node_type")
 
 
+def full_view(graph: PropertyGraph, limit: int = 2500, edge_limit: int = 6000) -> tuple[DataFrame, DataFrame]:
+    """The nodes of ``priority_sample`` with the external nodes next to them, and the first edges between all these by source, target and type."""
+    chosen = priority_sample(graph, limit).select("node_id")
+    ends = graph.edges.select(F.col("source").alias("node_id"), F.col("target").alias("other")).unionByName(graph.edges.select(F.col("target").alias("node_id"), F.col("source").alias("other")))
+    near = ends.join(chosen, "node_id", "left_semi").select(F.col("other").alias("node_id")).distinct()
+    external = graph.nodes.where("node_type = 'external'").select("node_id").join(near, "node_id", "left_semi")
+    shown = chosen.unionByName(external)
+    a, b = shown.withColumnRenamed("node_id", "source"), shown.withColumnRenamed("node_id", "target")
+    edges = graph.edges.select("source", "target", "edge_type").join(a, "source", "left_semi").join(b, "target", "left_semi")
+    return graph.nodes.join(shown, "node_id", "left_semi"), edges.select("source", "target", "edge_type").orderBy("source", "target", "edge_type").limit(edge_limit)
+
+
+def first_match(graph: PropertyGraph, text: str) -> DataFrame:
+    """``node_id`` of the first node by id whose label or id contains a text of at least two characters; shorter texts match none."""
+    needle = F.lit(text.strip().lower())
+    hit = F.contains(F.lower(node_label()), needle) | F.contains(F.lower("node_id"), needle)
+    return graph.nodes.where(hit if len(text.strip()) >= 2 else F.lit(False)).select("node_id").orderBy("node_id").limit(1)
+
+
 def node_fingerprint() -> Column:
     return F.sha2(F.to_json(F.struct("node_id", "node_type", "name", "qualified_name", "file_path", "kind", "complexity", "churn")), 256)
 
@@ -88,9 +108,10 @@ def viewer_search(graph: PropertyGraph, text: str, limit: int = 24) -> DataFrame
     return graph.nodes.where(F.contains(joined, F.lit(text.lower()))).select("node_id").orderBy("node_id").limit(limit)
 
 
-def node_label() -> Column:
-    t = F.col("node_type")
-    return F.coalesce(F.when(t == "file", F.col("file_path")).when(t == "symbol", F.coalesce("qualified_name", "name")).when(t == "import", F.col("module")).otherwise(F.col("name")), F.col("node_id"))
+def node_label(module: Column | None = None) -> Column:
+    """What a node is called; ``module`` gives the module of import nodes where there are any."""
+    t, module = F.col("node_type"), F.lit(None).cast("string") if module is None else module
+    return F.coalesce(F.when(t == "file", F.col("file_path")).when(t == "symbol", F.coalesce("qualified_name", "name")).when(t == "import", module).otherwise(F.col("name")), F.col("node_id"))
 
 
 def context_rank(graph: PropertyGraph) -> DataFrame:
@@ -127,25 +148,44 @@ def clean_messages(messages: DataFrame, conversation: str, order: str, keep: int
     return last.where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
 
 
+def compact_nodes(graph: PropertyGraph, ids: DataFrame) -> DataFrame:
+    """What a context tells of nodes: id, type, label, path, kind, complexity, churn and degree, by id."""
+    get = lambda c: F.col(c) if c in graph.nodes.columns else F.lit(None)
+    near = PropertyGraph(graph.nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi"), graph.edges)
+    module = F.col("module") if "module" in graph.nodes.columns else None
+    each = near.nodes.join(near.degrees(), "node_id").select(
+        "node_id", "node_type", node_label(module).alias("label"), "file_path", get("kind").alias("kind"), get("complexity").alias("complexity"),
+        get("churn").alias("churn"), (F.col("in_degree") + F.col("out_degree")).alias("degree"),
+    )
+    return each.orderBy("node_id")
+
+
+#: The parts of a context in their order: heading, and what fills it.
+CONTEXT_PARTS = (
+    ("Who imports whom", lambda g, p, at: g.edges.where("edge_type = 'imports'").select("source", "target").orderBy("source", "target").limit(p["import_edges"])),
+    ("Nodes that matter most", lambda g, p, at: compact_nodes(g, top_context_nodes(g, p["nodes"]))),
+    ("The chosen node", lambda g, p, at: compact_nodes(g, g.nodes.where(F.col("node_id") == at)) if at else None),
+    ("Links of the chosen node", lambda g, p, at: neighbors_for_context(g, at, p["neighbors"]) if at else None),
+    ("Some edges", lambda g, p, at: g.edges.select("source", "target", "edge_type").orderBy("source", "target", "edge_type").limit(p["edges"])),
+)
+CUT_SHORT = "(cut to the size of the profile)"
+
+
 def graph_context(graph: PropertyGraph, selected: str | None = None, size: str | None = None, title: str = "workspace") -> str:
-    """A text about a graph within a profile's budget; only the first few nodes and edges are collected."""
+    """A text about a graph within a profile's budget, made of ``CONTEXT_PARTS``; only the first few nodes and edges are collected."""
     p = context_profile(size)
-    compact = lambda df: [r.json for r in df.select(F.to_json(F.struct("*")).alias("json")).collect()]
-    cut = lambda df: df.select(*[paths.truncated(c, p["value_chars"], p["value_chars"] - 16, "...[truncated]").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
-    stats = queries.statistics(graph).first().asDict()
-    lines = [f"Graph of {title}:", f"- context profile: {size or 'small'}", f"- statistics: {stats}", ""]
-    edges = graph.edges.select("source", "target", "edge_type").orderBy("source", "target", "edge_type")
-    imports = compact(cut(edges.where("edge_type = 'imports'").limit(p["import_edges"])))
-    if imports:
-        lines += ["Import edges:", *[f"- {x}" for x in imports], ""]
-    lines += ["Important nodes:", *[f"- {x}" for x in compact(cut(top_context_nodes(graph, p["nodes"]).select("node_id").join(graph.nodes, "node_id")))]]
-    if selected and graph.has_node(selected):
-        lines += ["", "Selected node:", selected, "Selected node neighborhood:", *compact(cut(neighbors_for_context(graph, selected, p["neighbors"])))]
-    lines += ["", "Representative edges:", *[f"- {x}" for x in compact(cut(edges.limit(p["edges"])))]]
-    out, used = [], -1
-    for line in lines:
-        if used + 1 + len(line) > p["chars"]:
-            return "\n".join(out) + "\n\n[Graph context truncated to fit provider request limits.]"
-        out.append(line)
-        used += 1 + len(line)
-    return "\n".join(out)
+    at = selected if selected and graph.has_node(selected) else None
+    counts = {k: v for k, v in queries.statistics(graph).first().asDict().items() if v}
+    text = f"{title} ({size or 'small'} profile): " + ", ".join(f"{k.replace('_', ' ')} {v}" for k, v in counts.items())
+    for heading, part in CONTEXT_PARTS:
+        rows = part(graph, p, at)
+        if rows is None:
+            continue
+        short = [paths.truncated(c, p["value_chars"], p["value_chars"] - 3, "...").alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
+        lines = [r.json for r in rows.select(F.to_json(F.struct(*short)).alias("json")).collect()]
+        if lines:
+            text += f"\n\n## {heading}\n" + "\n".join(lines)
+    if len(text) <= p["chars"]:
+        return text
+    room = p["chars"] - len(CUT_SHORT) - 1
+    return text[: max(0, text.rfind("\n", 0, room + 1))] + "\n" + CUT_SHORT

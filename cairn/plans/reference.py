@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from cairn.functions import paths
 from cairn.operators import build, communities, intelligence, queries as q, resolution, timeline, views
 from cairn.operators.graph import PropertyGraph, strongly_connected_components
 from cairn.plans import projection
-from cairn.session import load
+from cairn.session import load, work_dir
 from cairn.sources import exports, extract
 from cairn.sources.ignore import IgnoreMatcher
 from cairn.streaming import changes
@@ -168,12 +170,13 @@ def public_api_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- cycles, components, communities ---------------------------------------------------------------------------
 
-_REACH = "WITH reach(a, b) AS (SELECT source, target FROM trade UNION SELECT r.a, t.target FROM reach r JOIN trade t ON t.source = r.b), ids AS (SELECT source AS id FROM trade UNION SELECT target FROM trade) "
+_REACH = "WITH reach(a, b) AS (SELECT source, target FROM links UNION SELECT r.a, t.target FROM reach r JOIN links t ON t.source = r.b), ids AS (SELECT source AS id FROM links UNION SELECT target FROM links) "
 
 
-@query(_REACH + "SELECT id AS node_id, least(id, coalesce((SELECT min(x.b) FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a = id), id)) AS component FROM ids")
+@query(_REACH + """, pairs AS (SELECT x.a AS id, min(x.b) AS first_ FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
+  SELECT id AS node_id, least(id, coalesce(first_, id)) AS component FROM ids LEFT JOIN pairs USING (id)""")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = projection.trade(spark, sf_dir)
+    arcs = projection.links(spark, sf_dir)
     return strongly_connected_components(arcs.select(F.explode(F.array("source", "target")).alias("node_id")), arcs)
 
 
@@ -213,7 +216,7 @@ def annotated_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def communities_leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = projection.trade(spark, sf_dir)
+    arcs = projection.links(spark, sf_dir)
     return communities.communities(arcs.select(F.explode(F.array("source", "target")).alias("node_id")).distinct(), arcs)
 
 
@@ -458,7 +461,7 @@ def workspace_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT path FROM file_records WHERE path IS NOT NULL AND NOT (concat('/', path) LIKE '%/node_modules/%' OR concat('/', path) LIKE '%/.git/%' OR concat('/', path) LIKE '%/__pycache__/%'
-  OR concat('/', path) LIKE '%/.venv/%' OR concat('/', path) LIKE '%/.genome/%' OR concat('/', path) LIKE '%/.genomeignore' OR path LIKE '%.pyc' OR (regexp_matches(path, '(^|/)docs/') ) OR (regexp_matches(path, '[0-4]\\.go$') AND NOT regexp_matches(path, '(^|/)[^/]*1\\.go$')))""", plain=True)
+  OR concat('/', path) LIKE '%/.venv/%' OR path LIKE '%.pyc' OR (regexp_matches(path, '(^|/)docs/') ) OR (regexp_matches(path, '[0-4]\\.go$') AND NOT regexp_matches(path, '(^|/)[^/]*1\\.go$')))""", plain=True)
 def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     matcher = IgnoreMatcher(extra=("docs/", "*[0-4].go", "!*1.go"))
 
@@ -518,9 +521,10 @@ def collapsed_view_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DEGREES + """, m AS (SELECT node_id, in_degree, out_degree, coalesce(churn, 0) AS churn, coalesce(complexity, 0) AS complexity FROM deg JOIN nodes USING (node_id)),
   t AS (SELECT max(in_degree) AS mi, max(out_degree) AS mo, max(churn) AS mc, max(complexity) AS mx FROM m)
   SELECT node_id, in_degree > 0 AND (in_degree >= 0.5 * mi OR in_degree > 8) AS god, out_degree > 0 AND (out_degree >= 0.5 * mo OR out_degree > 8) AS fragile,
-  churn > 0 AND churn >= 0.3 * mc AND complexity >= 0.3 * mx AS tech_debt, in_degree = 0 AS root FROM m, t""")
+  churn > 0 AND churn >= 0.3 * mc AND complexity >= 0.3 * mx AS tech_debt, in_degree = 0 AS root, coalesce(churn = 4, false) AS bridge FROM m, t""")
 def view_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.view_filters(projection.graph(spark, sf_dir))
+    g = projection.graph(spark, sf_dir)
+    return views.view_filters(PropertyGraph(g.nodes.withColumn("is_bridge", F.col("churn") == 4), g.edges))
 
 
 @query("SELECT node_id, node_type FROM nodes ORDER BY CASE node_type WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 2 END, node_id LIMIT 2500")
@@ -631,12 +635,200 @@ def vis_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.vis_nodes(projection.graph(spark, sf_dir))
 
 
-@query()
+_NOTE = lambda c: f"coalesce(nullif(left(replace(regexp_replace({c}, '[\\\\/:*?\"<>|]', '-', 'g'), ' ', '-'), 120), ''), 'note')"
+_LINK = f"concat('- [[Symbols/', {_NOTE('label')}, '|', label, ']]')"
+
+
+@query(f"""WITH named AS (SELECT node_id, node_type, coalesce(qualified_name, name) AS label FROM nodes),
+  inside AS (SELECT e.source AS node_id, string_agg(DISTINCT {_LINK}, chr(10) ORDER BY {_LINK}) AS list_ FROM edges e JOIN named n ON n.node_id = e.target WHERE e.edge_type = 'contains' AND n.node_type = 'symbol' GROUP BY 1),
+  files AS (SELECT node_id, file_path, churn, CASE lower(regexp_extract(file_path, '(\\.[^.]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' END AS language FROM nodes WHERE node_type = 'file')
+  SELECT {_NOTE('file_path')} AS name, concat('# ', file_path, chr(10), chr(10), '- language: `', coalesce(language, 'unknown'), '`', chr(10), '- churn: ', coalesce(churn, 0), chr(10), chr(10), '## Symbols', chr(10), chr(10),
+    coalesce(list_, '_No symbols parsed._'), chr(10), chr(10), '## Imports', chr(10), chr(10), '_No imports detected._', chr(10), chr(10), '## Incoming calls', chr(10), chr(10), '_No cross-file callers detected._', chr(10)) AS body
+  FROM files LEFT JOIN inside USING (node_id)""")
 def file_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = projection.graph(spark, sf_dir)
     return exports.file_notes(PropertyGraph(g.nodes.withColumn("language", paths.language("file_path")), g.edges))
 
 
+@query(f"SELECT {_NOTE('label')} AS name, count(*) AS n FROM (SELECT DISTINCT coalesce(qualified_name, name) AS label, kind, file_path, complexity FROM nodes WHERE node_type = 'symbol') s WHERE label IS NOT NULL GROUP BY 1")
+def symbol_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of symbol notes with the lines of each."""
+    return exports.symbol_notes(projection.graph(spark, sf_dir)).select("name", (F.size(F.split("body", "\n")) - 3).cast("bigint").alias("n"))
+
+
+@query("""SELECT node_id, concat('<node id="', node_id, '">', CASE WHEN churn IS NULL THEN '' ELSE concat('<data key="churn">', churn, '</data>') END, CASE WHEN complexity IS NULL THEN '' ELSE concat('<data key="complexity">', complexity, '</data>') END,
+  CASE WHEN file_path IS NULL THEN '' ELSE concat('<data key="file_path">', file_path, '</data>') END, CASE WHEN kind IS NULL THEN '' ELSE concat('<data key="kind">', kind, '</data>') END, CASE WHEN name IS NULL THEN '' ELSE concat('<data key="name">', name, '</data>') END,
+  concat('<data key="node_type">', node_type, '</data>'), CASE WHEN qualified_name IS NULL THEN '' ELSE concat('<data key="qualified_name">', qualified_name, '</data>') END, CASE WHEN region IS NULL THEN '' ELSE concat('<data key="region">', region, '</data>') END, '</node>') AS element FROM nodes""")
+def graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.graphml_nodes(projection.graph(spark, sf_dir))
+
+
+@query("SELECT source AS \"from\", target AS \"to\", edge_type AS label, 'to' AS arrows FROM edges")
+def vis_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.vis_edges(projection.graph(spark, sf_dir))
+
+
+@query("SELECT node_id, coalesce(CASE node_type WHEN 'file' THEN file_path ELSE coalesce(qualified_name, name) END, node_id) AS label FROM nodes")
+def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.graph(spark, sf_dir).nodes.select("node_id", views.node_label().alias("label"))
+
+
+@query("SELECT node_id FROM nodes WHERE contains(lower(coalesce(CASE node_type WHEN 'file' THEN file_path ELSE coalesce(qualified_name, name) END, node_id)), 'part_1') OR contains(lower(node_id), 'part_1') ORDER BY node_id LIMIT 1")
+def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.first_match(projection.graph(spark, sf_dir), "Part_1")
+
+
+_SHOWN = "WITH shown AS (SELECT node_id FROM nodes ORDER BY CASE node_type WHEN 'file' THEN 0 WHEN 'symbol' THEN 1 ELSE 2 END, node_id LIMIT 2500) "
+
+
+@query(_SHOWN + "SELECT source, target, edge_type FROM edges WHERE source IN (SELECT node_id FROM shown) AND target IN (SELECT node_id FROM shown) ORDER BY source, target, edge_type LIMIT 6000")
+def full_view_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.full_view(projection.graph(spark, sf_dir))[1]
+
+
+@query(_DEGREES + f"SELECT node_id, n.node_type, coalesce(CASE n.node_type WHEN 'file' THEN file_path ELSE coalesce(qualified_name, name) END, node_id) AS label, file_path, kind, complexity, churn, in_degree + out_degree AS degree FROM deg JOIN nodes n USING (node_id) WHERE node_id = {_MOST}")
+def compact_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = projection.graph(spark, sf_dir)
+    return views.compact_nodes(g, g.nodes.where(F.col("node_id") == _most_used(g)))
+
+
+# -- primitives, the store, builds -------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT node_id, (SELECT count(*) FROM edges WHERE target = node_id) AS in_degree, (SELECT count(*) FROM edges WHERE source = node_id) AS out_degree,
+  EXISTS (SELECT 1 FROM edges WHERE source = node_id AND target = node_id) AS has_loop, true AS has_node, false AS has_other FROM nodes WHERE node_id = {_MOST}""")
+def node_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = projection.graph(spark, sf_dir)
+    at = _most_used(g)
+    row = (at, g.in_degree(at), g.out_degree(at), g.has_edge(at, at), g.has_node(at), g.has_node("no such node"))
+    return spark.createDataFrame([row], "node_id string, in_degree bigint, out_degree bigint, has_loop boolean, has_node boolean, has_other boolean")
+
+
+_SHOW = ("node_type", "file_path", "name", "kind", "complexity", "churn")
+
+
+@query(f"SELECT node_id, {', '.join(_SHOW)} FROM nodes WHERE node_id = {_MOST}")
+def node_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = projection.graph(spark, sf_dir)
+    at = _most_used(g)
+    got = g.get_node(at)
+    return spark.createDataFrame([(at, *(got.get(c) for c in _SHOW))], "node_id string, node_type string, file_path string, name string, kind string, complexity bigint, churn bigint")
+
+
+@query(f"SELECT source, target, min(edge_type) AS edge_type FROM edges WHERE target = {_MOST} AND source = (SELECT min(source) FROM edges WHERE target = {_MOST}) GROUP BY 1, 2")
+def edge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = projection.graph(spark, sf_dir)
+    at = _most_used(g)
+    first = g.in_edges(at).agg(F.min("source")).first()[0]
+    return spark.createDataFrame([(first, at, g.get_edge(first, at)["edge_type"])], "source string, target string, edge_type string")
+
+
+@query("SELECT DISTINCT target AS node_id FROM edges WHERE source = (SELECT source FROM (SELECT source, count(*) AS n FROM edges GROUP BY 1) t ORDER BY n DESC, source LIMIT 1)")
+def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = projection.graph(spark, sf_dir)
+    top = g.edges.groupBy("source").count().orderBy(F.desc("count"), "source").first()
+    return g.neighbors(top[0] if top else "")
+
+
+@query(f"SELECT node_id, CASE WHEN node_id = {_MOST} THEN 99 ELSE churn END AS churn FROM nodes")
+def attribute_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = projection.graph(spark, sf_dir)
+    return g.set_node_attr(_most_used(g), "churn", 99).nodes.select("node_id", "churn")
+
+
+_GONE = "SELECT node_id FROM nodes WHERE file_path LIKE 'asia/%'"
+
+
+@query(f"SELECT edge_type, count(*) AS n FROM edges WHERE source NOT IN ({_GONE}) AND target NOT IN ({_GONE}) GROUP BY edge_type")
+def files_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = projection.graph(spark, sf_dir)
+    return g.remove_nodes(g.nodes.where("file_path like 'asia/%'")).edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT coalesce(node_type, '-') AS node_type, count(*) AS n FROM (SELECT node_type FROM nodes UNION ALL SELECT NULL FROM nodes WHERE node_type = 'file') t GROUP BY 1")
+def edges_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from every file to a node that is not there yet."""
+    g = projection.graph(spark, sf_dir)
+    new = g.nodes.where("node_type = 'file'").select(F.col("node_id").alias("source"), F.concat(F.lit("new:"), "node_id").alias("target"), F.lit("calls").alias("edge_type"))
+    return g.add_edges(new.unionByName(new)).nodes.groupBy(F.coalesce("node_type", F.lit("-")).alias("node_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT node_id, CASE WHEN node_type = 'file' THEN 'seen' ELSE name END AS name, CASE WHEN node_type = 'file' THEN NULL ELSE churn END AS churn FROM nodes")
+def nodes_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file replaced by a node with another name and nothing else."""
+    g = projection.graph(spark, sf_dir)
+    new = g.nodes.where("node_type = 'file'").select("node_id", "node_type", F.lit("seen").alias("name"))
+    return g.add_nodes(new).nodes.select("node_id", "name", "churn")
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> timeline.Timeline:
+    """A store of two snapshots: all nodes, then those outside Asia with a greater churn."""
+    store = timeline.Timeline(spark, f"{work_dir(spark)}/timeline-{uuid.uuid4().hex}")
+    g = projection.graph(spark, sf_dir)
+    store.record(g, "all", 1.0)
+    kept = g.nodes.where("file_path is null or file_path not like 'asia/%'").withColumn("churn", F.col("churn") + 1)
+    store.record(PropertyGraph(kept, g.edges.where("edge_type = 'contains'")), "less", 2.0)
+    return store
+
+
+@query(f"""SELECT 1 AS snapshot_id, 'all' AS label, (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count
+  UNION ALL SELECT 2, 'less', (SELECT count(*) FROM nodes WHERE node_id NOT IN ({_GONE})), (SELECT count(*) FROM edges WHERE edge_type = 'contains')""")
+def recorded_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recorded(spark, sf_dir).snapshots().select("snapshot_id", "label", "node_count", "edge_count")
+
+
+@query(f"SELECT node_id, node_type, churn + 1 AS churn FROM nodes WHERE node_id NOT IN ({_GONE})")
+def loaded_snapshot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recorded(spark, sf_dir).load().nodes.select("node_id", "node_type", "churn")
+
+
+@query(f"""SELECT 'nodes' AS part, CASE WHEN node_id IN ({_GONE}) THEN 'removed' ELSE 'modified' END AS kind, count(*) AS n FROM nodes GROUP BY 1, 2
+  UNION ALL SELECT 'edges', 'removed', count(*) FROM (SELECT DISTINCT source, target FROM edges WHERE edge_type <> 'contains') e""")
+def recorded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.delta_counts(*_recorded(spark, sf_dir).delta(1, 2))
+
+
+_BUILT = """WITH s AS (SELECT * FROM parsed_symbols WHERE qualified_name IS NOT NULL), i AS (SELECT * FROM parsed_inheritance WHERE base IS NOT NULL),
+  ids AS (SELECT DISTINCT concat('symbol:', path, ':', qualified_name) AS node_id, path, name FROM s)"""
+
+
+def _built(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph of the given parse rows: symbols, an import of every base by its file, and bases."""
+    symbols = load(spark, sf_dir, "parsed_symbols").where("qualified_name is not null")
+    bases = load(spark, sf_dir, "parsed_inheritance").where("base is not null")
+    imports = bases.select("path", F.col("base").alias("module"), F.coalesce("line", F.lit(0)).alias("start_line"))
+    calls = spark.createDataFrame([], "path string, caller string, callee string, line int")
+    files = load(spark, sf_dir, "file_records").select("path").distinct()
+    return build.build(files, symbols.select("path", "name", "kind", "start_line", "end_line", "docstring", "complexity", "qualified_name"), imports, bases, calls)
+
+
+@query(_BUILT + """ SELECT 'file' AS node_type, (SELECT count(DISTINCT coalesce(path, '')) FROM file_records) AS n UNION ALL SELECT 'symbol', (SELECT count(DISTINCT node_id) FROM ids)
+  UNION ALL SELECT 'import', (SELECT count(*) FROM (SELECT DISTINCT path, base, coalesce(line, 0) FROM i) x) UNION ALL SELECT 'proxy', (SELECT count(*) FROM (SELECT DISTINCT path, base FROM i) y)""", plain=True)
+def built_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_BUILT + """, named AS (SELECT DISTINCT node_id, path, name FROM (SELECT concat('symbol:', path, ':', qualified_name) AS node_id, path, name, row_number() OVER (PARTITION BY path, qualified_name ORDER BY start_line DESC) AS r FROM s) x WHERE r = 1)
+  SELECT 'contains' AS edge_type, (SELECT count(*) FROM s) AS n UNION ALL SELECT 'imports', (SELECT count(*) FROM i) UNION ALL SELECT 'inherits', (SELECT count(*) FROM i JOIN named ON named.path = i.path AND named.name = i.class_name)""", plain=True)
+def built_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT concat('proxy:', file_path, ':', fqn) AS node_id, CASE WHEN fqn IN ({_REMOVED}) THEN true END AS is_broken FROM ({_CONSUMES}) c", plain=True)
+def proxies_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    consumes = _consumes(spark, sf_dir)
+    proxies = consumes.select(F.concat(F.lit("proxy:"), "file_path", F.lit(":"), "fqn").alias("node_id"), F.lit("proxy").alias("node_type"))
+    return resolution.flag_broken(PropertyGraph(proxies, proxies), _removed(spark, sf_dir), consumes).nodes.select("node_id", "is_broken")
+
+
+@query("SELECT path, arg_max(sha256, mtime) AS sha256 FROM file_records WHERE path IS NOT NULL AND mtime IS NOT NULL GROUP BY path HAVING count(DISTINCT (mtime, sha256)) = count(DISTINCT mtime)", plain=True)
+def fingerprint_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints kept for the next scan, where the newest record is unambiguous."""
+    records = load(spark, sf_dir, "file_records").where("path is not null and mtime is not null")
+    clear = records.groupBy("path").agg(F.count_distinct(F.struct("mtime", F.coalesce("sha256", F.lit("")))).alias("a"), F.count_distinct("mtime").alias("b")).where("a = b").select("path")
+    return build.updated_cache(records).join(clear, "path", "left_semi").select("path", "sha256")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -62,8 +62,8 @@ def _remove(paths: list[str]) -> None:
 atexit.register(lambda: _remove(list(_written)))
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders per value of ``by``, and read it back.
 
     This cuts the lineage with a compressed table that survives the loss of executors. Tables are removed by ``discard``, at the end
     of a ``scratch`` block, or when the process ends.
@@ -71,12 +71,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(work_dir(spark), f"{label}-{uuid.uuid4().hex}")
     _written[path] = spark
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._cairn_path = path
     return out
 
 
+def is_written(table: DataFrame) -> bool:
+    """Whether ``materialize`` returned the table and it has not been removed."""
+    return getattr(table, "_cairn_path", None) in _written
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``materialize`` returned and nothing reads any more; others are left alone."""
     _remove([t._cairn_path for t in tables if getattr(t, "_cairn_path", None) in _written])

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators import intelligence, queries, views
+from cairn.operators import intelligence, queries, timeline, views
 from cairn.operators.graph import PropertyGraph
+from cairn.session import materialize
 
-#: Colours of communities.
+#: Colours of communities, and what a note says of an empty list.
 PALETTE = ("#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac")
+NO_SYMBOLS, NO_IMPORTS, NO_CALLERS = "_No symbols parsed._", "_No imports detected._", "_No cross-file callers detected._"
 RANKED = 25
 
 
@@ -77,7 +79,7 @@ def vis_nodes(graph: PropertyGraph) -> DataFrame:
     n = graph.nodes if "module" in graph.nodes.columns else graph.nodes.withColumn("module", F.lit(None).cast("string"))
     palette = F.array(*map(F.lit, PALETTE))
     color = F.when(community.isNull(), "#888888").otherwise(F.element_at(palette, (F.pmod(community, F.lit(len(PALETTE))) + 1).cast("int")))
-    return n.select(F.col("node_id").alias("id"), views.node_label().alias("label"), F.col("node_id").alias("title"), color.alias("color"))
+    return n.select(F.col("node_id").alias("id"), views.node_label(F.col("module")).alias("label"), F.col("node_id").alias("title"), color.alias("color"))
 
 
 def vis_edges(graph: PropertyGraph) -> DataFrame:
@@ -103,13 +105,27 @@ def file_notes(graph: PropertyGraph) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("edge_type") == "contains", link))).alias("symbols"),
         F.array_sort(F.collect_set(F.when(F.col("edge_type") == "imports", F.concat(F.lit("- `"), F.col("module"), F.lit("`"))))).alias("imports"),
     )
+    callers = n.where("node_type = 'symbol'").select(F.col("node_id").alias("source"), label.alias("label"))
+    into = graph.edges.where("edge_type = 'calls'").select("source", F.col("target").alias("node_id")).join(files.select("node_id"), "node_id", "left_semi")
+    calls = into.join(callers, "source").groupBy("node_id").agg(F.array_sort(F.collect_set(link)).alias("calls"))
     section = lambda c, none: F.concat_ws("\n", F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.col(c)).otherwise(F.array(F.lit(none))))
     body = F.concat_ws(
         "\n", F.concat(F.lit("# "), "file_path"), F.lit(""), F.concat(F.lit("- language: `"), F.coalesce("language", F.lit("unknown")), F.lit("`")),
-        F.concat(F.lit("- churn: "), F.coalesce("churn", F.lit(0)).cast("string")), F.lit("\n## Symbols\n"), section("symbols", "_No symbols parsed._"),
-        F.lit("\n## Imports\n"), section("imports", "_No imports detected._"),
+        F.concat(F.lit("- churn: "), F.coalesce("churn", F.lit(0)).cast("string")), F.lit("\n## Symbols\n"), section("symbols", NO_SYMBOLS),
+        F.lit("\n## Imports\n"), section("imports", NO_IMPORTS), F.lit("\n## Incoming calls\n"), section("calls", NO_CALLERS), F.lit(""),
     )
-    return files.join(parts, "node_id", "left").select(note_name(F.col("file_path")).alias("name"), body.alias("body"))
+    return files.join(parts, "node_id", "left").join(calls, "node_id", "left").select(note_name(F.col("file_path")).alias("name"), body.alias("body"))
+
+
+def symbol_notes(graph: PropertyGraph) -> DataFrame:
+    """``name, body``: a note per symbol name with the kind, file, line and complexity of each symbol that has it."""
+    n = graph.nodes.where("node_type = 'symbol'")
+    get = lambda c, kind="string": (F.col(c) if c in n.columns else F.lit(None)).cast(kind)
+    label = F.coalesce("qualified_name", "name")
+    line = F.concat(F.lit("- "), F.coalesce(get("kind"), F.lit("symbol")), F.lit(" in [[Files/"), note_name(F.col("file_path")), F.lit("|"), F.col("file_path"), F.lit("]]"))
+    line = F.concat(line, F.coalesce(F.concat(F.lit(", line "), get("start_line")), F.lit("")), F.coalesce(F.concat(F.lit(", complexity "), get("complexity")), F.lit("")))
+    one = n.where(label.isNotNull()).groupBy(note_name(label).alias("name")).agg(F.min(label).alias("title"), F.array_sort(F.collect_set(line)).alias("lines"))
+    return one.select("name", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("body"))
 
 
 def report(graph: PropertyGraph) -> dict:
@@ -147,11 +163,20 @@ def export_cypher(graph: PropertyGraph, path: str) -> str:
 
 
 def export_graphml(graph: PropertyGraph, path: str) -> str:
-    lines = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
-    lines += [f'<key id="{c}" for="node" attr.name="{c}" attr.type="string"/>' for c in sorted(graph.nodes.columns) if c != "node_id"]
-    lines += ['<key id="edge_type" for="edge" attr.name="edge_type" attr.type="string"/>', '<graph edgedefault="directed">']
-    lines += [r.element for r in graphml_nodes(graph).toLocalIterator()] + [r.element for r in graphml_edges(graph).toLocalIterator()]
-    return _write(path, "\n".join([*lines, "</graph>", "</graphml>"]) + "\n")
+    """One document, its elements read range by range; for graphs beyond one reader write ``graphml_nodes`` and ``graphml_edges`` as text."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path + ".part", "w", encoding="utf-8") as f:
+        f.write('<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
+        for c in sorted(graph.nodes.columns):
+            if c != "node_id":
+                f.write(f'<key id="{c}" for="node" attr.name="{c}" attr.type="string"/>\n')
+        f.write('<key id="edge_type" for="edge" attr.name="edge_type" attr.type="string"/>\n<graph edgedefault="directed">\n')
+        for part in (graphml_nodes(graph), graphml_edges(graph)):
+            for r in part.select("element").toLocalIterator(prefetchPartitions=True):
+                f.write(r.element + "\n")
+        f.write("</graph>\n</graphml>\n")
+    os.replace(path + ".part", path)
+    return path
 
 
 def export_markdown(graph: PropertyGraph, path: str) -> str:
@@ -163,12 +188,38 @@ def export_markdown(graph: PropertyGraph, path: str) -> str:
 
 
 def export_obsidian(graph: PropertyGraph, path: str) -> str:
-    """A vault of file notes and an index."""
-    names = []
-    for r in file_notes(graph).orderBy("name").toLocalIterator():
-        _write(os.path.join(path, "Files", f"{r.name}.md"), r.body)
-        names.append(r.name)
-    return _write(os.path.join(path, "Index.md"), "# Index\n\n" + "\n".join(f"- [[Files/{n}]]" for n in names) + "\n")
+    """A vault of file and symbol notes and an index. ``path`` is a folder that all executors share; tasks write the notes."""
+    def write(parts):
+        for part in parts:
+            for folder, name, body in zip(part["folder"], part["name"], part["body"]):
+                _write(os.path.join(path, folder, f"{name}.md"), body)
+            yield part[["folder", "name"]]
+
+    notes = file_notes(graph).withColumn("folder", F.lit("Files")).unionByName(symbol_notes(graph).withColumn("folder", F.lit("Symbols")))
+    written = materialize(notes.mapInPandas(write, "folder string, name string"), "notes")
+    index = os.path.join(path, "Index.md")
+    os.makedirs(path, exist_ok=True)
+    with open(index, "w", encoding="utf-8") as f:
+        f.write("# Index\n\n")
+        for r in written.where("folder = 'Files'").orderBy("name").toLocalIterator():
+            f.write(f"- [[Files/{r.name}]]\n")
+    return index
+
+
+def dumps(store: timeline.Timeline, what: str, **options) -> Iterator[str]:
+    """JSON lines of a timeline: ``timeline`` (snapshots), ``changes`` (``snapshot_from, snapshot_to``: nodes, then edges) or ``churn`` (rates of all nodes)."""
+    if what == "timeline":
+        tables = [store.rows("snapshots").orderBy("snapshot_id")]
+    elif what == "changes":
+        nodes, edges = store.delta(options["snapshot_from"], options["snapshot_to"])
+        tables = [nodes.orderBy("kind", "node_id"), edges.orderBy("kind", "source", "target")]
+    elif what == "churn":
+        tables = [timeline.churn_rates(store.rows("nodes"), store.rows("snapshots"), **options).orderBy(F.desc("rate"), "node_id")]
+    else:
+        raise ValueError(f"unknown dump {what}")
+    for t in tables:
+        for r in t.select(F.to_json(F.struct("*")).alias("json")).toLocalIterator():
+            yield r.json
 
 
 FORMATS: dict[str, tuple[str, Callable[[PropertyGraph, str], str]]] = {

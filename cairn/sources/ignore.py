@@ -6,9 +6,9 @@ import re
 from functools import lru_cache
 from pathlib import Path
 
-#: What is ignored by default, and the ignore files that are read.
-DEFAULT_PATTERNS = (".git/", ".venv/", "node_modules/", "__pycache__/", "*.pyc", ".genome/", ".genomeignore")
-IGNORE_FILES = (".gitignore", ".genomeignore")
+#: What is ignored by default, and the ignore file that is read. Callers add patterns and file names of their own.
+DEFAULT_PATTERNS = (".git/", ".venv/", "node_modules/", "__pycache__/", "*.pyc")
+IGNORE_FILES = (".gitignore",)
 
 
 def parse_lines(text: str) -> list[str]:
@@ -17,13 +17,12 @@ def parse_lines(text: str) -> list[str]:
 
 
 def rebase(directory: str, pattern: str) -> str:
-    """A pattern of a nested ignore file as one of the root's."""
+    """A pattern of a nested ignore file as one of the root's: one with a slash before its end means a path below the directory, others any depth there."""
     if not directory:
         return pattern
-    mark, body = ("!", pattern[1:]) if pattern.startswith("!") else ("", pattern)
-    if body.startswith("/"):
-        return f"{mark}/{directory}{body}"
-    return f"{mark}/{directory}/{body}" if "/" in body.rstrip("/") else f"{mark}/{directory}/**/{body}"
+    bare = pattern.removeprefix("!")
+    steps = [directory] if "/" in bare[:-1] else [directory, "**"]
+    return "!" * (bare != pattern) + "/" + "/".join([*steps, bare.lstrip("/")])
 
 
 @lru_cache(maxsize=10_000)
@@ -70,14 +69,26 @@ class IgnoreMatcher:
         self.by_directory = by_directory or {}
 
     @classmethod
-    def for_workspace(cls, root: str, extra: tuple[str, ...] = ()) -> IgnoreMatcher:
+    def from_file(cls, path: str, extra: tuple[str, ...] = ()) -> IgnoreMatcher:
+        """The patterns of one ignore file, as the root's; none if there is no such file."""
+        file = Path(path)
+        return cls({"": parse_lines(file.read_text("utf-8", "replace"))} if file.is_file() else {}, extra)
+
+    def ignore_file(self, root: str, path: str) -> None:
+        """Ignore a file of our own, a cache say, if it lies below the root."""
+        full, base = Path(path).resolve(), Path(root).resolve()
+        if base in full.parents:
+            self.add_pattern("/" + full.relative_to(base).as_posix())
+
+    @classmethod
+    def for_workspace(cls, root: str, extra: tuple[str, ...] = (), names: tuple[str, ...] = IGNORE_FILES) -> IgnoreMatcher:
         """Read the ignore files below a folder; ignored directories are not entered."""
         found = cls({}, extra)
         stack = [""]
         while stack:
             here = stack.pop()
             folder = Path(root, here)
-            lines = [p for name in IGNORE_FILES if (folder / name).is_file() for p in parse_lines((folder / name).read_text("utf-8", "replace"))]
+            lines = [p for name in names if (folder / name).is_file() for p in parse_lines((folder / name).read_text("utf-8", "replace"))]
             if lines:
                 found.by_directory[here] = lines
             for child in folder.iterdir() if folder.is_dir() else ():
@@ -89,24 +100,21 @@ class IgnoreMatcher:
     def add_pattern(self, pattern: str) -> None:
         self.extra.append(pattern)
 
-    def _patterns(self, directories: list[str]) -> list[str]:
-        return [*DEFAULT_PATTERNS, *self.extra, *(rebase(d, p) for d in directories for p in self.by_directory.get(d, ()))]
+    @lru_cache(maxsize=10_000)  # noqa: B019 (a matcher lives as long as its scan)
+    def _rules(self, chain: tuple[str, ...], extra: tuple[str, ...]) -> list[tuple[re.Pattern, bool, bool]]:
+        """The compiled patterns that hold below a chain of directories with ignore files."""
+        return [compile_pattern(p) for p in (*DEFAULT_PATTERNS, *extra, *(rebase(d, p) for d in chain for p in self.by_directory[d]))]
 
     def is_ignored(self, path: str, is_dir: bool = False) -> bool:
         path = path.replace("\\", "/").strip("/")
         if not path:
             return False
         parts = path.split("/")
-        patterns = self._patterns(["/".join(parts[:i]) for i in range(len(parts))])
+        above = ("/".join(parts[:i]) for i in range(len(parts)))
+        rules = self._rules(tuple(d for d in above if d in self.by_directory), tuple(self.extra))
         for depth in range(1, len(parts) + 1):  # what lies below an ignored directory is ignored
-            prefix, below = "/".join(parts[:depth]), depth < len(parts)
-            verdict = False
-            for p in patterns:
-                rx, only_dirs, negated = compile_pattern(p)
-                if only_dirs and not (below or is_dir):
-                    continue
-                if rx.fullmatch(prefix):
-                    verdict = not negated
-            if verdict:
+            prefix, dirs_too = "/".join(parts[:depth]), depth < len(parts) or is_dir
+            last = next((negated for rx, only_dirs, negated in reversed(rules) if (dirs_too or not only_dirs) and rx.fullmatch(prefix)), True)
+            if not last:
                 return True
         return False

@@ -125,7 +125,7 @@ def test_queries_and_views(spark):
     assert [tuple(r) for r in views.file_level_view(g).collect()] == [("file:a.py", "file:b.py", "calls")]
     assert [tuple(r) for r in views.collapsed_weights(g).collect()] == [("file:a.py", "file:b.py", 1, 2.0)]
     text = views.graph_context(g, "file:a.py", "minimal")
-    assert "Selected node:" in text and len(text) < 1_900 and views.context_profile("media")["nodes"] == 16 and views.context_profile("odd")["nodes"] == 8
+    assert "## The chosen node" in text and len(text) <= 1_800 and views.context_profile("media")["nodes"] == 16 and views.context_profile("odd")["nodes"] == 8
     assert q.statistics(g).first().file_count == 2 and q.symbol_count(g) == 1 and q.symbol_count(g, "b.py") == 0 and ids(q.file_metadata(g, "b.py")) == ["file:b.py"]
 
 

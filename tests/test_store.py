@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -46,6 +47,32 @@ def test_ignore():
     assert m.is_ignored("build", True) and not m.is_ignored("build")
 
 
+def test_ignore_files_of_the_caller(tmp_path):
+    (tmp_path / "own").write_text("# none\n*.bin\n!keep.bin\n")
+    m = IgnoreMatcher.from_file(str(tmp_path / "own"), ("/top",))
+    assert m.is_ignored("a/x.bin") and not m.is_ignored("a/keep.bin") and m.is_ignored("top") and not m.is_ignored("a/top") and not IgnoreMatcher.from_file(str(tmp_path / "none")).is_ignored("a")
+    m.ignore_file(str(tmp_path), str(tmp_path / "cache" / "scan.db"))
+    m.ignore_file(str(tmp_path), "/elsewhere/other.db")
+    assert m.is_ignored("cache/scan.db") and not m.is_ignored("a/cache/scan.db") and not m.is_ignored("elsewhere/other.db")
+
+
+def test_dumps_and_vault(spark, tmp_path):
+    t = Timeline(spark, str(tmp_path / "t"))
+    s, r = ("symbol:a.py:f", "symbol", "a.py", 1, "f"), ("symbol:b.py:g", "symbol", "b.py", 1, "g")
+    f = [("file:a.py", "file", "a.py", 0), ("file:b.py", "file", "b.py", 0)]
+    g = graph(spark, [*f, s, r], [("file:a.py", s[0], "contains"), (r[0], "file:a.py", "calls")])
+    t.record(graph(spark, f), "one", 1.0)
+    t.record(g, "two", 2.0)
+    lines = lambda *a, **k: [json.loads(x) for x in exports.dumps(t, *a, **k)]
+    assert [x["label"] for x in lines("timeline")] == ["one", "two"] and len(lines("changes", snapshot_from=1, snapshot_to=2)) == 4 and {x["rate"] for x in lines("churn")} == {0.0}
+    exports.export_obsidian(g, str(tmp_path / "vault"))
+    note = (tmp_path / "vault" / "Files" / "a.py.md").read_text()
+    assert "[[Symbols/f|f]]" in note and "[[Symbols/g|g]]" in note.split("## Incoming calls")[1] and exports.NO_CALLERS in (tmp_path / "vault" / "Files" / "b.py.md").read_text()
+    assert "[[Files/b.py|b.py]]" in (tmp_path / "vault" / "Symbols" / "g.md").read_text() and (tmp_path / "vault" / "Index.md").read_text() == "# Index\n\n- [[Files/a.py]]\n- [[Files/b.py]]\n"
+    exports.export_obsidian(graph(spark, []), str(tmp_path / "none"))
+    assert (tmp_path / "none" / "Index.md").read_text() == "# Index\n\n"
+
+
 def test_workspace(spark, tmp_path):
     files = {"main.py": "a\nb\n", "utils.py": "x\ny", "pkg/__init__.py": "", ".gitignore": "*.log\nignored/\n", "n.log": "no\n", "ignored/x.py": "no"}
     for name, text in files.items():
