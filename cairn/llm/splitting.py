@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.tokenizer import TOKENIZER, WordCounts, words_of
+from cairn.llm.tokenizer import TOKENIZER, WordCounts, ship, shipped, words_of
 from cairn.session import spread
 
 LIMIT = 2000
@@ -123,10 +123,10 @@ def split_documents(
     Null and empty texts and texts within the limit have no rows. Texts of no more bytes than the limit are
     passed over in the scan, as no token is shorter than a byte. Rows with equal keys are cut one by one.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, name = docs.schema[key].dataType.simpleString(), ship(docs.sparkSession, tokenizer)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = WordCounts(tokenizer)
+        counts = WordCounts(shipped(name))
         for part in parts:
             rows = []
             for k, t in zip(part["key"], part["text"]):

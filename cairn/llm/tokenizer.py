@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.session import materialize, spread
@@ -25,6 +26,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s")
 #: The same for texts of ASCII alone, where the standard library's engine is faster.
 ASCII_PATTERN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s")
+#: Words of a hash bucket that are replayed together; it bounds what a task holds, not the result.
+REPLAY_WORDS = 50_000
 #: Characters of text per block; it bounds what a task holds, not the result.
 BLOCK_CHARS = 4_000_000
 
@@ -34,6 +37,17 @@ def words_of(text: str) -> list[str]:
     return (ASCII_PATTERN if text.isascii() else PATTERN).findall(text)
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file to all executors; the name by which tasks ask ``shipped`` for it."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    """Where a vocabulary file lies on this machine."""
+    return SparkFiles.get(name)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -187,12 +201,24 @@ def _split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield dictionary()
 
 
-def _replay_udf(path: str):
+def _replay_udf(name: str):
+    """Replays the words of one hash bucket, ``REPLAY_WORDS`` at a time under one index."""
+
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replay = MergeReplay.of(path)
+        replay = MergeReplay.of(shipped(name))
+        held: list[bytes] = []
+
+        def replayed() -> pd.DataFrame:
+            ids = replay.encode([w.decode("utf-8", "surrogatepass") for w in held])
+            return pd.DataFrame({"word": held, "ids": [np.array(x, dtype=np.int32) for x in ids]})
+
         for part in parts:
-            words = [w.decode("utf-8", "surrogatepass") for w in part["word"]]
-            yield pd.DataFrame({"word": part["word"], "ids": [np.array(x, dtype=np.int32) for x in replay.encode(words)]})
+            held += part["word"].tolist()
+            if len(held) >= REPLAY_WORDS:
+                yield replayed()
+                held = []
+        if held:
+            yield replayed()
 
     return encode
 
@@ -225,7 +251,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     split = materialize(spread(rows).mapInPandas(_split, f"block string, key {kind}, at int, word binary, words array<int>"), "words")
     dictionary = split.where("word is not null").select(F.col("block").alias("home"), "at", "word")
-    vocabulary = dictionary.select("word").distinct().mapInPandas(_replay_udf(tokenizer), "word binary, ids array<int>")
+    vocabulary = dictionary.select("word").distinct().mapInPandas(_replay_udf(ship(docs.sparkSession, tokenizer)), "word binary, ids array<int>")
     known = dictionary.join(vocabulary, "word").select("home", "at", "ids")
     texts = split.where("words is not null").select("block", "key", "words")
     out = f"key {kind}, ids array<int>"
