@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +24,7 @@ IMPORT = "struct<module:string,names:array<string>,start_line:int,is_relative:bo
 BASE = "struct<class_name:string,base:string,line:int>"
 CALL = "struct<caller:string,callee:string,line:int>"
 PARSED = f"path string, language string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, inheritance array<{BASE}>, calls array<{CALL}>, errors array<string>"
+#: Fixed value: the error of a file that is no valid source.
 SYNTAX_ERROR = "Syntax errors detected in AST"
 
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.match_case)
@@ -198,7 +200,8 @@ def _braced(kind: str, text: str) -> dict:
     code, lines = _blanked(kind, text), text.split("\n")
     if code.count("{") != code.count("}") or code.count("(") != code.count(")"):
         out["errors"] = [SYNTAX_ERROR]
-    line_of = lambda at: text.count("\n", 0, at) + 1
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line_of = lambda at: bisect_left(ends, at) + 1
     spans: list[tuple[int, int, str]] = []
 
     def scope_at(at: int) -> list[str]:
