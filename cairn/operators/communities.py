@@ -19,7 +19,7 @@ from cairn.operators.graph import PropertyGraph
 from cairn.session import discard, materialize
 
 #: The least rise of modularity for which another round of moves by joins is made.
-LEAST_RISE = 1e-4
+LEAST_RISE = 1e-3
 
 
 def _leiden(n: int, edges: list[tuple[int, int, float]], gamma: float, seed: int, total: float, weights: list[float] | None = None) -> list[int]:

@@ -189,8 +189,8 @@ def circular_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join("path", ">").alias("path"), "length")
 
 
-@query("""WITH RECURSIVE_ links AS (SELECT source AS a, target AS b FROM edges WHERE edge_type = 'imports' UNION SELECT target, source FROM edges WHERE edge_type = 'imports')
-  SELECT count(*) AS files, count(DISTINCT a) AS linked FROM links""".replace("RECURSIVE_ ", ""))
+@query("""WITH RECURSIVE_ both_ways AS (SELECT source AS a, target AS b FROM edges WHERE edge_type = 'imports' UNION SELECT target, source FROM edges WHERE edge_type = 'imports')
+  SELECT count(*) AS files, count(DISTINCT a) AS linked FROM both_ways""".replace("RECURSIVE_ ", ""))
 def import_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = projection.graph(spark, sf_dir).edges.where("edge_type = 'imports'").select(F.col("source").alias("a"), F.col("target").alias("b"))
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
