@@ -8,8 +8,11 @@ levels above that move by joins, half of the nodes at a time. Both take the same
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,92 +25,122 @@ from cairn.session import discard, materialize
 LEAST_RISE = 1e-3
 
 
-def _leiden(n: int, edges: list[tuple[int, int, float]], gamma: float, seed: int, total: float, weights: list[float] | None = None) -> list[int]:
+def _merged(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arcs by source, parallel ones as one; those of a source in the order in which they come first."""
+    key, first, which = np.unique(src * n + dst, return_index=True, return_inverse=True)
+    order = np.lexsort((first, key // n))
+    return key[order] // n, key[order] % n, np.bincount(which, w, len(key))[order]
+
+
+def _move(arcs: tuple[np.ndarray, np.ndarray, np.ndarray], degree: np.ndarray, community: np.ndarray, allowed: list[int] | None, gamma: float, total: float, rng: random.Random) -> tuple[bool, np.ndarray]:
+    """Whether any node moved, and the communities after each node went where the gain is greatest, as often as its neighbours moved.
+
+    ``allowed``: nodes only see neighbours of the same value. Plain lists, as numpy is slower for single nodes.
+    """
+    src, dst, w = arcs
+    n, twice = len(degree), 2 * total
+    start = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]).tolist()
+    sums = np.bincount(community, degree, n).tolist()
+    near, weight, own_degree, at = dst.tolist(), w.tolist(), degree.tolist(), community.tolist()
+    queue, waiting, moved = list(range(n)), bytearray(b"\1") * n, False
+    rng.shuffle(queue)
+    while queue:
+        later = []
+        for i in queue:
+            waiting[i] = 0
+            own, k = at[i], gamma * own_degree[i]
+            beside = near[start[i] : start[i + 1]]
+            to = {own: 0.0}
+            for j, x in zip(beside, weight[start[i] : start[i + 1]]):
+                if allowed is None or allowed[j] == allowed[i]:
+                    c = at[j]
+                    to[c] = to[c] + x if c in to else x
+            if len(to) == 1:
+                continue
+            sums[own] -= own_degree[i]
+            stays = top = to.pop(own) - k * sums[own] / twice
+            best = own
+            for c, x in to.items():
+                gain = x - k * sums[c] / twice
+                if gain > top or (gain == top and c < best):
+                    top, best = gain, c
+            if top <= stays + 1e-12:
+                best = own
+            sums[best] += own_degree[i]
+            if best != own:
+                at[i], moved = best, True
+                for j in beside:
+                    if not waiting[j] and at[j] != best:
+                        waiting[j] = 1
+                        later.append(j)
+        queue = later
+    return moved, np.array(at, dtype=np.int64)
+
+
+def _leiden(n: int, edges: tuple[np.ndarray, np.ndarray, np.ndarray], gamma: float, seed: int, total: float, weights: np.ndarray | None = None) -> np.ndarray:
     """Community numbers: local moving, refinement into well-connected parts, aggregation, until nothing moves.
 
-    ``total`` is the weight of all edges of the whole graph, ``weights`` what lies inside each node of an aggregated one.
+    ``edges`` has the ends (from 0) and the weight of each edge, ``total`` is the weight of all edges of the whole graph, ``weights`` what
+    lies inside each node of an aggregated one. A level takes time in proportion to its arcs, save for sorting.
     """
     rng = random.Random(seed)
-    members = [[i] for i in range(n)]
-    label_of = list(range(n))
-    adjacency: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in edges:
-        if a != b:
-            adjacency[a][b] = adjacency[a].get(b, 0.0) + w
-            adjacency[b][a] = adjacency[b].get(a, 0.0) + w
-    loops = list(weights) if weights else [0.0] * n
-    start = list(range(n))
-
-    def move(adj: list[dict[int, float]], degree: list[float], community: list[int], allowed: list[int] | None) -> bool:
-        weight = {}
-        for i, c in enumerate(community):
-            weight[c] = weight.get(c, 0.0) + degree[i]
-        order = list(range(len(adj)))
-        rng.shuffle(order)
-        queue, waiting, moved = order, set(order), False
-        while queue:
-            later = []
-            for i in queue:
-                waiting.discard(i)
-                own = community[i]
-                to: dict[int, float] = {own: 0.0}
-                for j, w in adj[i].items():
-                    if allowed is None or allowed[j] == allowed[i]:
-                        to[community[j]] = to.get(community[j], 0.0) + w
-                weight[own] -= degree[i]
-                gain = lambda c: to[c] - gamma * degree[i] * weight.get(c, 0.0) / (2 * total)  # noqa: B023, E731
-                best = max(sorted(to), key=gain)
-                if gain(best) <= gain(own) + 1e-12:
-                    best = own
-                weight[best] = weight.get(best, 0.0) + degree[i]
-                if best != own:
-                    community[i], moved = best, True
-                    for j in adj[i]:
-                        if community[j] != best and j not in waiting:
-                            waiting.add(j)
-                            later.append(j)
-            queue = later
-        return moved
-
-    community = start[:]
+    a, b, w = (x[edges[0] != edges[1]] for x in edges)
+    arcs = _merged(np.stack([a, b], 1).ravel(), np.stack([b, a], 1).ravel(), np.repeat(w, 2), n)
+    loops = np.zeros(n) if weights is None else weights
+    at = community = np.arange(n)  # where each node of the graph lies in this level
     while True:
-        degree = [sum(a.values()) + 2 * l for a, l in zip(adjacency, loops)]
-        moved = move(adjacency, degree, community, None)
-        for i, group in enumerate(members):
-            for m in group:
-                label_of[m] = community[i]
-        if not moved or len(set(community)) == len(adjacency):
-            return label_of
-        parts = list(range(len(adjacency)))
-        move(adjacency, degree, parts, community)
-        number = {c: k for k, c in enumerate(sorted(set(parts)))}
-        new: list[dict[int, float]] = [{} for _ in number]
-        new_loops, new_members = [0.0] * len(number), [[] for _ in number]
-        new_community = [0] * len(number)
-        for i, a in enumerate(adjacency):
-            p = number[parts[i]]
-            new_loops[p] += loops[i]
-            new_members[p] += members[i]
-            new_community[p] = community[i]
-            for j, w in a.items():
-                q = number[parts[j]]
-                if p == q:
-                    new_loops[p] += w / 2
-                else:
-                    new[p][q] = new[p].get(q, 0.0) + w
-        if len(number) == len(adjacency):
-            return label_of
-        first = {c: min(k for k, x in enumerate(new_community) if x == c) for c in set(new_community)}
-        community = [first[c] for c in new_community]
-        adjacency, loops, members = new, new_loops, new_members
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node_id, component``: connected components by smallest id."""
+        src, dst, w = arcs
+        degree = np.bincount(src, w, n) + 2 * loops
+        moved, community = _move(arcs, degree, community, None, gamma, total, rng)
+        if not moved or len(np.unique(community)) == n:
+            return community[at]
+        parts = _move(arcs, degree, np.arange(n), community.tolist(), gamma, total, rng)[1]
+        number = np.unique(parts, return_inverse=True)[1]
+        k = int(number.max()) + 1
+        if k == n:
+            return community[at]
+        p, q = number[src], number[dst]
+        inner = p == q
+        loops = np.bincount(number, loops, k) + np.bincount(p[inner], w[inner] / 2, k)
+        above = np.empty(k, dtype=np.int64)
+        above[number] = community
+        first, which = np.unique(above, return_index=True, return_inverse=True)[1:]
+        community, at, n = first[which], number[at], k
+        arcs = _merged(p[~inner], q[~inner], w[~inner], k)
+
+
+def _linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of one task: each node takes the smallest label beside it, and its label's label, until nothing changes."""
+    batches = list(parts)
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches)
+    ids = pc.unique(pa.chunked_array([*rows["source"].chunks, *rows["target"].chunks]))
+    ids = ids.take(pc.sort_indices(ids))
+    a, b = (pc.index_in(rows[c], ids).to_numpy() for c in ("source", "target"))
+    label = np.arange(len(ids))
+    while True:
+        least, new = np.minimum(label[a], label[b]), label.copy()
+        for end in (a, b):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, label[end], least)  # the label's own node comes along
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield from pa.table({"node_id": ids, "component": ids.take(pa.array(label))}).to_batches(max_chunksize=100_000)
+
+
+def components(nodes: DataFrame, edges: DataFrame, task_edges: int = 2_000_000) -> DataFrame:
+    """``node_id, component``: connected components by smallest id; up to ``task_edges`` edges in one task, more by joins."""
     from cairn.operators.graph import _spread
 
+    ids = nodes.select("node_id").distinct()
+    if edges.count() <= task_edges:
+        found = edges.select("source", "target").coalesce(1).mapInArrow(_linked, "node_id string, component string")
+        return ids.join(found, "node_id", "full").select("node_id", F.coalesce("component", "node_id").alias("component"))
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    return _spread(nodes.select("node_id", F.col("node_id").alias("label")).distinct(), materialize(both, "arcs")).withColumnRenamed("label", "component")
+    return _spread(ids.withColumn("label", F.col("node_id")), materialize(both, "arcs")).withColumnRenamed("label", "component")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> float:
@@ -169,22 +202,21 @@ def _moved(both: DataFrame, nodes: DataFrame, gamma: float, total: float, seed:
 
 
 def _solve(gamma: float, seed: int, total: float):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(rows: pa.Table) -> pa.Table:
         """One component: rows with a ``target`` are edges, those without one tell what lies inside a node."""
-        ids = sorted(set(pdf["source"]))
-        at = {x: i for i, x in enumerate(ids)}
-        inside = [0.0] * len(ids)
-        edges = []
-        for a, b, w in sorted(zip(pdf["source"], pdf["target"].fillna(""), pdf["w"])):
-            if b:
-                edges.append((at[a], at[b], w))
-            else:
-                inside[at[a]] = w
-        labels = _leiden(len(ids), edges, gamma, seed, total, inside)
-        first: dict[int, str] = {}
-        for x, c in zip(ids, labels):
-            first.setdefault(c, x)
-        return pd.DataFrame({"node_id": ids, "label": [first[c] for c in labels]})
+        ids = pc.unique(rows["source"])
+        ids = ids.take(pc.sort_indices(ids))
+        a = pc.index_in(rows["source"], ids).to_numpy().astype(np.int64)
+        b = pc.fill_null(pc.index_in(rows["target"], ids, skip_nulls=True), -1).to_numpy().astype(np.int64)
+        w = rows["w"].to_numpy()
+        edge = b >= 0
+        inside = np.zeros(len(ids))
+        inside[a[~edge]] = w[~edge]
+        a, b, w = a[edge], b[edge], w[edge]
+        order = np.lexsort((w, b, a))
+        labels = _leiden(len(ids), (a[order], b[order], w[order]), gamma, seed, total, inside)
+        first, which = np.unique(labels, return_index=True, return_inverse=True)[1:]
+        return pa.table({"node_id": ids, "label": ids.take(pa.array(first[which]))})
 
     return solve
 
@@ -198,7 +230,7 @@ def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, seed: in
     """
     arcs = materialize(_arcs(edges), "arcs")
     total = float(arcs.count()) or 1.0
-    parts = materialize(components(nodes, arcs), "components")
+    parts = materialize(components(nodes, arcs, group_edges), "components")
     both = materialize(arcs.unionByName(arcs.select(F.col("target").alias("source"), F.col("source").alias("target"), "w")), "both")
     inside = both.groupBy(F.col("source").alias("node_id")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0))
     names = parts.select("node_id", F.col("node_id").alias("at"))  # where each node of the graph lies now
@@ -210,7 +242,7 @@ def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, seed: in
         small = sizes.where(F.col("n") <= 2 * group_edges).select("component")
         rows = owned.join(small, "component").where("source < target").select("component", "source", "target", "w")
         loops = inside.join(parts, "node_id").join(small, "component").select("component", F.col("node_id").alias("source"), F.lit(None).cast("string").alias("target"), F.col("loop").alias("w"))
-        done.append(materialize(rows.unionByName(loops).groupBy("component").applyInPandas(_solve(gamma, seed, total), "node_id string, label string"), "solved"))
+        done.append(materialize(rows.unionByName(loops).groupBy("component").applyInArrow(_solve(gamma, seed, total), "node_id string, label string"), "solved"))
         if not large.take(1):
             break
         held = materialize(owned.join(large, "component").select("component", "source", "target", "w"), "large")
@@ -218,8 +250,8 @@ def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, seed: in
         labels = _moved(held.select("source", "target", "w"), nodes_in.select("node_id", "k", "loop"), gamma, total, seed)
         a, b = labels.select(F.col("node_id").alias("source"), F.col("label").alias("la")), labels.select(F.col("node_id").alias("target"), F.col("label").alias("lb"))
         met = held.join(a, "source").join(b, "target")
-        apart = components(labels.select("node_id"), met.where("la = lb").select("source", "target")).withColumnRenamed("component", "label")  # connected parts
-        apart = materialize(apart, "parts")
+        within = materialize(met.where("la = lb").select("source", "target"), "within")
+        apart = materialize(components(labels.select("node_id"), within, group_edges).withColumnRenamed("component", "label"), "parts")  # connected parts
         if apart.where("node_id <> label").take(1) == []:
             done.append(apart)  # nothing moves: each node is a community
             break

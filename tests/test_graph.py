@@ -1,4 +1,7 @@
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from cairn.operators import communities, intelligence as i, queries as q, resolution, views
 from cairn.operators.graph import PropertyGraph, simple_cycles, strongly_connected_components
@@ -90,6 +93,25 @@ def test_communities_are_as_good_by_joins(spark):
     assert joined.count() == whole.count() == 145 and q > 0.6 and communities.modularity(edges, joined) > q - 0.05
 
 
+def test_many_communities_in_one_task_take_linear_time(spark):
+    """A ring of 150,000 nodes is one component of tens of thousands of communities."""
+    n = 150_000
+    edges = spark.range(n).select(F.format_string("n%06d", "id").alias("source"), F.format_string("n%06d", (F.col("id") + 1) % n).alias("target"))
+    began = time.perf_counter()
+    found = communities.communities(edges.select(F.col("source").alias("node_id")), edges).toPandas()
+    assert time.perf_counter() - began < 60
+    assert len(found) == n and found["community_id"].nunique() > 100 and communities.modularity(edges, spark.createDataFrame(found)) > 0.98
+
+
+def test_connected_components_agree_at_every_size(spark):
+    rnd = random.Random(5)
+    arcs = [(f"n{rnd.randrange(90)}", f"n{rnd.randrange(90)}") for _ in range(50)] + [(f"m{k:02d}", f"m{k + 1:02d}") for k in range(40)]
+    edges, nodes = spark.createDataFrame(arcs, "source string, target string"), spark.createDataFrame([(x,) for e in arcs for x in e] + [("lone",)], "node_id string")
+    whole = sorted(tuple(r) for r in communities.components(nodes, edges).collect())
+    assert whole == sorted(tuple(r) for r in communities.components(nodes, edges, task_edges=3).collect())
+    assert ("lone", "lone") in whole and ("m40", "m00") in whole and len(whole) == len({x for e in arcs for x in e}) + 1
+
+
 def test_clustering_graph_and_annotation(spark):
     g = graph(spark, [*files("a", "b", "c"), ("symbol:a.py:f", "symbol", "a.py", "f"), ("symbol:b.py:g", "symbol", "b.py", "g")], [("symbol:a.py:f", "symbol:b.py:g", "calls")])
     nodes, links = communities.clustering_graph(g)
